@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from nodeloom.operators import orphans
+from nodeloom.plans import build_queries, search_queries
+from nodeloom.plans.view import norm
 from nodeloom.session import table
 
 
@@ -14,5 +16,12 @@ QUERIES = {
     "p3_found": lambda s, d: _fold(s, d).found(),
     "p3_report": lambda s, d: _fold(s, d).changes(),
 }
-SQL: dict[str, str] = {}
-FLAGSHIP = "p3_report"
+SQL = {
+    "p3_found": f"""WITH refs AS (SELECT edge_seq, 'source' AS endpoint, {norm("source")} AS id, arrived_at FROM graph_edges UNION ALL SELECT edge_seq, 'target', {norm("target")}, arrived_at FROM graph_edges),
+there AS (SELECT {norm("id")} AS id, arrived_at, removed_at FROM graph_nodes)
+SELECT edge_seq, endpoint FROM refs r WHERE id <> '' AND NOT EXISTS (SELECT 1 FROM there t WHERE t.id = r.id AND t.arrived_at <= r.arrived_at AND (t.removed_at IS NULL OR t.removed_at > r.arrived_at))""",
+}
+FLAGSHIP = "q17_query_graph"
+for _part in (build_queries, search_queries):
+    QUERIES.update(_part.QUERIES)
+    SQL.update(_part.SQL)
