@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from nodeloom.operators import orphans
-from nodeloom.plans import build_queries, search_queries
+from nodeloom.plans import analyze_queries, build_queries, data_queries, search_queries
 from nodeloom.plans.view import norm
 from nodeloom.session import table
 
@@ -22,6 +22,6 @@ there AS (SELECT {norm("id")} AS id, arrived_at, removed_at FROM graph_nodes)
 SELECT edge_seq, endpoint FROM refs r WHERE id <> '' AND NOT EXISTS (SELECT 1 FROM there t WHERE t.id = r.id AND t.arrived_at <= r.arrived_at AND (t.removed_at IS NULL OR t.removed_at > r.arrived_at))""",
 }
 FLAGSHIP = "q17_query_graph"
-for _part in (build_queries, search_queries):
+for _part in (build_queries, search_queries, analyze_queries, data_queries):
     QUERIES.update(_part.QUERIES)
     SQL.update(_part.SQL)
