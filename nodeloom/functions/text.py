@@ -89,8 +89,9 @@ def file_tokens(chars: Column, most: int = 20_000, overhead: int = 160) -> Colum
 
 
 def cypher_escape(c: Column) -> Column:
-    c = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
-    return F.regexp_replace(F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), r"[\x00-\x1f\x7f]", "")
+    """For a quoted literal: control characters but tabs dropped, ``\\`` and ``'`` escaped."""
+    c = F.regexp_replace(c, r"[\x00-\x08\x0a-\x1f]", "")
+    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
 
 
 def cypher_name(c: Column, fallback: str) -> Column:
@@ -100,9 +101,10 @@ def cypher_name(c: Column, fallback: str) -> Column:
 
 
 def safe_filename(c: Column, most: int = 200) -> Column:
-    """A label as a file name: reserved signs to ``-``, blanks to ``_``, 'unnamed' if nothing is left."""
-    name = F.regexp_replace(F.regexp_replace(c, r'[\\/:*?"<>|#^\[\]\x00-\x1f]', "-"), r"\s+", "_")
-    name = F.substring(F.regexp_replace(name, r"^[.\-_]+|[.\-_]+$", ""), 1, most)
+    """A label as a file name: ``/`` and ``:`` to ``-``, blanks and other reserved signs to ``_``,
+    dots and blanks off the ends; 'unnamed' if nothing is left."""
+    name = F.regexp_replace(F.translate(c, "/ :", "-_-"), r'[<>"\\|?*]', "_")
+    name = F.substring(F.regexp_replace(name, r"^[. ]+|[. ]+$", ""), 1, most)
     return F.when(F.coalesce(name, F.lit("")) == "", F.lit("unnamed")).otherwise(name)
 
 
@@ -137,8 +139,8 @@ def humanize(c: Column) -> Column:
 
 
 def strip_version(c: Column) -> Column:
-    """A package reference without its version: ``@scope/name@1.2`` and ``name==1`` to the name."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?<=.)@[^/@]*$", ""), r"(==|>=|<=|~=|>|<).*$", "")
+    """A package reference up to the ``@`` of its version: ``@scope/name@1.2`` to ``@scope/name``."""
+    return F.regexp_replace(c, r"^(@?[^@]*)@.*$", "$1")
 
 
 def requirement_name(c: Column) -> Column:

@@ -74,7 +74,7 @@ _PATHS = "w AS (SELECT node_seq, replace(lower(label), ' ', '_') || '/' || label
 
 
 def _paths(s, d):
-    n = table(s, d, "graph_nodes").where(r"label RLIKE '^[A-Za-z0-9_ .\\-]+$'")
+    n = table(s, d, "graph_nodes").where(r"label RLIKE '^[A-Za-z0-9_ .\\-]+\\z'")
     return n.select("node_seq", F.concat(F.replace(F.lower("label"), F.lit(" "), F.lit("_")), F.lit("/"), "label", F.lit(".txt")).alias("p"))
 
 
@@ -150,7 +150,7 @@ def _(s, d):
 _KEY = f"trim(regexp_replace({form('coalesce(label, id)')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 _ASC = "regexp_replace(lower(coalesce(label, id)), '[^\\x00-\\x7f]', '?', 'g')"
 _CAND = f"c AS (SELECT id, seq, trim(regexp_replace({_ASC}, '[^a-z0-9]+', ' ', 'g')) AS key, source_file AS f, file_type AS ty, community AS cm FROM n WHERE file_type IS DISTINCT FROM 'code')"
-_PAIRS = f"{_CAND}, p AS (SELECT a.id AS a, b.id AS b, a.key AS ak, b.key AS bk, coalesce(a.f, '') AS af, coalesce(b.f, '') AS bf, a.ty AS at, b.ty AS bt FROM c a JOIN c b ON a.cm = b.cm AND a.seq < b.seq AND substr(a.key, 1, 3) = substr(b.key, 1, 3))"
+_PAIRS = f"{_CAND}, p AS (SELECT a.id AS a, b.id AS b, a.key AS ak, b.key AS bk, coalesce(a.f, '') AS af, coalesce(b.f, '') AS bf, a.ty AS at, b.ty AS bt FROM c a JOIN c b ON a.cm = b.cm AND a.seq < b.seq AND a.key <> '' AND substr(a.key, 1, 3) = substr(b.key, 1, 3))"
 _SCORED = f"{_PAIRS}, q AS (SELECT *, 100 * CASE WHEN af <> bf AND greatest(length(ak), length(bk)) >= 12 THEN jaro_similarity(ak, bk) ELSE jaro_winkler_similarity(ak, bk) END AS score FROM p)"
 
 
@@ -159,7 +159,7 @@ def _pairs(s, d):
     ASCII rendering (the other engine compares bytes)."""
     n = graph(s, d).nodes.where("file_type <> 'code'")
     key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("label", "id")), r"[^\x00-\x7f]", "?"), "[^a-z0-9]+", " "))
-    n = n.select("id", "seq", key.alias("key"), "source_file", "file_type", "community").withColumn("k", F.substring("key", 1, 3))
+    n = n.select("id", "seq", key.alias("key"), "source_file", "file_type", "community").where("key <> ''").withColumn("k", F.substring("key", 1, 3))
     side = lambda x: n.select("community", "k", F.col("id").alias(x), F.col("seq").alias(f"{x}_seq"), F.col("key").alias(f"{x}_key"), F.col("source_file").alias(f"{x}_file"), F.col("file_type").alias(f"{x}_type"))
     return side("a").join(side("b"), ["community", "k"]).where("a_seq < b_seq").withColumn("same_community", F.lit(True))
 
@@ -418,3 +418,87 @@ def _(s, d):
 def _(s, d):
     f = table(s, d, "fragments").groupBy("chunk_no").agg(F.sum(F.coalesce("input_tokens", F.lit(0))).alias("i"), F.sum(F.coalesce("output_tokens", F.lit(0))).alias("o"))
     return f.select("chunk_no", F.round(F.col("i") * 3.0 / 1e6 + F.col("o") * 15.0 / 1e6, 9).alias("cost"))
+
+
+# sources and sinks
+
+
+@query("a16_markdown_headings")
+def _(s, d):
+    from nodeloom.sources.extractors import extract
+
+    rows = extract(_src(s, d))
+    return rows.where("kind = 'node'").select("path", "id", "label", "line")
+
+
+@query(
+    "s38_normalized_nodes",
+    sql("SELECT seq, json_extract_string(p, '$.id') AS id, coalesce(nullif(json_extract_string(p, '$.label'), ''), json_extract_string(p, '$.id')) AS label, 'unknown' AS community, coalesce(json_extract_string(p, '$.source_file'), '') AS source_file, coalesce(nullif(json_extract_string(p, '$.file_type'), ''), 'code') AS file_type FROM r WHERE json_extract_string(p, '$.id') <> ''", "r"),
+)
+def _(s, d):
+    from nodeloom.plans.view import records
+    from nodeloom.sources.graph_json import normalize_nodes
+
+    return normalize_nodes(records(s, d).where("attrs['id'] <> ''").select("seq", "attrs")).select("seq", "id", "label", "community", "source_file", "file_type")
+
+
+@query(
+    "s39_normalized_edges",
+    sql("SELECT seq, json_extract_string(p, '$.source') AS source, json_extract_string(p, '$.target') AS target, lower(coalesce(nullif(json_extract_string(p, '$.relation'), ''), 'relates')) AS relation, upper(coalesce(nullif(json_extract_string(p, '$.confidence'), ''), 'EXTRACTED')) AS confidence, coalesce(try_cast(json_extract_string(p, '$.weight') AS DOUBLE), 1.0::DOUBLE) AS confidence_score FROM r WHERE json_extract_string(p, '$.source') <> '' AND json_extract_string(p, '$.target') <> ''", "r"),
+)
+def _(s, d):
+    from nodeloom.plans.view import records
+    from nodeloom.sources.graph_json import normalize_edges
+
+    return normalize_edges(records(s, d).select("seq", "attrs"))
+
+
+def _cy(c: str) -> str:
+    return f"replace(replace(regexp_replace({c}, '[\\x00-\\x08\\x0a-\\x1f]', '', 'g'), chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39))"
+
+
+@query(
+    "k02_cypher",
+    sql(
+        f"""SELECT 0 AS part, seq, 'MERGE (n:' || upper(substr(file_type, 1, 1)) || lower(substr(file_type, 2)) || ' {{id: ''' || {_cy('id')} || ''', label: ''' || {_cy('coalesce(label, id)')} || '''}});' AS line FROM n
+UNION ALL SELECT 1, seq, 'MATCH (a {{id: ''' || {_cy('source')} || '''}}), (b {{id: ''' || {_cy('target')} || '''}}) MERGE (a)-[:' || CASE WHEN regexp_matches(upper(relation), '^[A-Z]') THEN upper(relation) ELSE 'RELATES_TO' END || ' {{confidence: ''' || coalesce(confidence, 'EXTRACTED') || '''}}]->(b);' FROM g""",
+        "g",
+    ),
+)
+def _(s, d):
+    from nodeloom import sinks
+    from nodeloom.operators.build import simple
+
+    return sinks.cypher(simple(graph(s, d)))
+
+
+@query("k05_graphml")
+def _(s, d):
+    from nodeloom import sinks
+    from nodeloom.operators.build import simple
+
+    return sinks.graphml(simple(graph(s, d)))
+
+
+@query("k01_json_edges")
+def _(s, d):
+    from nodeloom.operators.build import simple
+    from nodeloom.sources.graph_json import edge_rows
+
+    return edge_rows(simple(graph(s, d)))
+
+
+@query("k07_notes")
+def _(s, d):
+    from nodeloom import sinks
+    from nodeloom.operators.build import simple
+
+    return sinks.notes(simple(graph(s, d)))
+
+
+@query("k10_articles")
+def _(s, d):
+    from nodeloom import sinks
+    from nodeloom.operators.build import simple
+
+    return sinks.articles(simple(graph(s, d)))
