@@ -33,14 +33,18 @@ def _normalize_other(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else normalize_id_py(x))
 
 
+_normalize_other = _normalize_other.asNondeterministic()  # else filters on its result would be pushed below it and run it twice
+
+
 def is_ascii(c: Column) -> Column:
-    return c.rlike(r"\A[\x00-\x7F]*\z")
+    """As many bytes as characters: no pattern has to run."""
+    return F.octet_length(c) == F.length(c)
 
 
 def normalize_id(c: Column | str) -> Column:
     """Normal form of an id; null stays null, an id without letters or digits becomes ''."""
     c = F.col(c) if isinstance(c, str) else c
-    plain = F.lower(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", ""))
+    plain = F.btrim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "_"), F.lit("_"))
     return F.when(is_ascii(c), plain).otherwise(_normalize_other(F.when(~is_ascii(c), c)))
 
 

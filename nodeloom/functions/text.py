@@ -23,6 +23,9 @@ def _search_form_other(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else strip_diacritics_py(x).lower())
 
 
+_search_form_other = _search_form_other.asNondeterministic()  # else filters on its result would be pushed below it and run it twice
+
+
 def search_form(c: Column) -> Column:
     """Lower case without diacritics; null becomes ''. ASCII stays in the JVM."""
     c = F.coalesce(c, F.lit(""))

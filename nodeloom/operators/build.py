@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.functions.ids import normalize_id
 from nodeloom.schema import BUILD_FAMILIES, CONFIDENCES, DEFAULT_SCORES, FILE_TYPE_SYNONYMS, FILE_TYPES, Graph, basename, lookup, mapped, suffix
+from nodeloom.session import spread
 
 NODE_COLS = ["label", "file_type", "source_file", "source_location", "community", "repo"]
 EDGE_COLS = ["confidence", "confidence_score", "context", "source_file", "weight"]
@@ -142,16 +143,18 @@ def merge_ghosts(nodes: DataFrame) -> DataFrame:
 # assembly
 
 
-def from_tables(raw_nodes: DataFrame, raw_edges: DataFrame) -> Graph:
+def from_tables(raw_nodes: DataFrame, raw_edges: DataFrame, keep=lambda df, name: df) -> Graph:
     """Delivered rows to one row per node and all valid edges, ids in normal form.
 
+    ``keep(df, name)`` may store the nodes, which are used three times (``session.materialize``).
+
     A node's last delivery counts. Edges without both endpoints among the nodes are dropped, an
     empty source_file is filled from the source, then the target, and INFERRED calls across
     language families are dropped."""
     ids = normalize_id("id")
-    nodes = raw_nodes.select(F.col("node_seq").alias("seq"), ids.alias("id"), *NODE_COLS).where("id <> ''")
-    nodes = dedupe_nodes(nodes.withColumn("file_type", coerce_file_type(F.col("file_type"))))
-    rows = raw_edges.select(F.col("edge_seq").alias("seq"), normalize_id("source").alias("source"), normalize_id("target").alias("target"), normalize_id("relation").alias("relation"), *EDGE_COLS)
+    nodes = spread(raw_nodes.select("node_seq", "id", *NODE_COLS)).select(F.col("node_seq").alias("seq"), ids.alias("id"), *NODE_COLS).where("id <> ''")
+    nodes = keep(dedupe_nodes(nodes.withColumn("file_type", coerce_file_type(F.col("file_type")))), "nodes")
+    rows = spread(raw_edges.select("edge_seq", "source", "target", "relation", *EDGE_COLS)).select(F.col("edge_seq").alias("seq"), normalize_id("source").alias("source"), normalize_id("target").alias("target"), normalize_id("relation").alias("relation"), *EDGE_COLS)
     return Graph(nodes, attach(rows.where("source <> '' AND target <> ''"), nodes))
 
 

@@ -34,6 +34,9 @@ def _norm_other(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else norm_label_py(x))
 
 
+_norm_other = _norm_other.asNondeterministic()  # else filters on its result would be pushed below it and run it twice
+
+
 @F.pandas_udf(DoubleType())
 def _entropy_other(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else entropy_py(norm_label_py(x)))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions.ids import normalize_id
-from nodeloom.session import hot_buckets, with_salts
+from nodeloom.session import hot_buckets, spread, with_salts
 
 STATE = "k1 long, k2 long, present long, n_source long, n_target long"
 _ENDPOINTS = ("source", "target")
@@ -40,6 +40,7 @@ def references(edges: DataFrame, endpoints: tuple[str, ...] = _ENDPOINTS) -> Dat
     ``endpoints``. Null, empty or letterless endpoints and rows without arrived_at (no time to
     judge them at) are no references."""
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("e"), F.col(x).alias("ref")) for i, x in enumerate(endpoints)]))
+    edges = spread(edges.select("edge_seq", *endpoints, "arrived_at"))
     rows = edges.where("arrived_at IS NOT NULL").select("edge_seq", F.col("arrived_at").alias("t"), each.alias("x"))
     return _keyed(rows.select("edge_seq", "t", "x.e", "x.ref").where("ref <> ''"), "ref").drop("ref")
 

@@ -119,7 +119,7 @@ UNION ALL SELECT 'new_edge', * FROM (SELECT * FROM kn EXCEPT SELECT * FROM ko) U
 )
 def _(s, d):
     """Two overlapping snapshots of the graph, eight tenths each."""
-    g = graph(s, d)
+    g = graph(s, d, keep_edges=True)
     old = g.with_(nodes=g.nodes.where("seq % 10 < 8"), edges=g.edges.where("seq % 10 < 8"))
     return analyze.diff(old, g.with_(nodes=g.nodes.where("seq % 10 >= 2"), edges=g.edges.where("seq % 10 >= 2")))
 

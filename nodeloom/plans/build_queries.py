@@ -83,12 +83,12 @@ def _(s, d):
 
 @query("b06_simple_graph", sql("SELECT u, v, seq, source, target, relation, confidence, context, source_file, weight FROM g", "g"))
 def _(s, d):
-    return simple(s, d).edges.select("u", "v", "seq", "source", "target", "relation", "confidence", "context", "source_file", "weight")
+    return simple(s, d, keep_edges=False).edges.select("u", "v", "seq", "source", "target", "relation", "confidence", "context", "source_file", "weight")
 
 
 @query("b06_simple_digraph", sql("SELECT seq, source, target, relation, confidence FROM dg", "dg"))
 def _(s, d):
-    return simple(s, d, True).edges.select("seq", "source", "target", "relation", "confidence")
+    return simple(s, d, True, keep_edges=False).edges.select("seq", "source", "target", "relation", "confidence")
 
 
 @query(

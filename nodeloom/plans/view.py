@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.operators import build
 from nodeloom.schema import ANALYSIS_FAMILIES, BUILD_FAMILIES, FILE_TYPE_SYNONYMS, FILE_TYPES, Graph
-from nodeloom.session import table
+from nodeloom.session import materialize, table
 
 
 def raw_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -23,12 +23,15 @@ def raw_edges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "graph_edges").withColumnRenamed("edge_seq", "seq")
 
 
-def graph(spark: SparkSession, d: str, directed: bool = False) -> Graph:
-    return build.from_tables(table(spark, d, "graph_nodes"), table(spark, d, "graph_edges")).with_(directed=directed)
+def graph(spark: SparkSession, d: str, directed: bool = False, keep_edges: bool = False) -> Graph:
+    """Nodes are written to the shared folder, edges only if they will be read several times."""
+    g = build.from_tables(table(spark, d, "graph_nodes"), table(spark, d, "graph_edges"), materialize).with_(directed=directed)
+    return g.with_(edges=materialize(g.edges, "edges")) if keep_edges else g
 
 
-def simple(spark: SparkSession, d: str, directed: bool = False) -> Graph:
-    return build.simple(graph(spark, d, directed))
+def simple(spark: SparkSession, d: str, directed: bool = False, keep_edges: bool = True) -> Graph:
+    g = build.simple(graph(spark, d, directed))
+    return g.with_(edges=materialize(g.edges, "edges")) if keep_edges else g
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:

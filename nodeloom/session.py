@@ -81,8 +81,8 @@ def scan_units(df: DataFrame) -> int:
     spark = df.sparkSession
     wanted = 2 * spark.sparkContext.defaultParallelism
     files = df.inputFiles()
-    if len(files) >= wanted:
-        return len(files)
+    if not files or len(files) >= wanted:  # no files: not a scan, left as it is
+        return len(files) or wanted
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     groups = 0
     for f in files:

@@ -46,7 +46,7 @@ def normalize_edges(rows: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, directed: bool = True) -> Graph:
     """A node-link document (``links`` or ``edges``) as a graph; extra fields are left out."""
-    doc = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "nodes array<map<string,string>>, links array<map<string,string>>, edges array<map<string,string>>").alias("d"))
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "nodes array<map<string,string>>, links array<map<string,string>>, edges array<map<string,string>>").alias("d"))
     nodes = doc.select(F.posexplode("d.nodes").alias("pos", "a")).where("a['id'] IS NOT NULL")
     kinds = {"community": "int"}
     nodes = nodes.select(F.col("pos").cast("long").alias("seq"), F.col("a")["id"].alias("id"), *[F.col("a")[c].cast(kinds.get(c, "string")).alias(c) for c in NODE_COLS])

@@ -120,12 +120,14 @@ def package_argument(args):
 def server_configs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of tool server configurations: servers, commands, packages and the *names*
     of environment variables. Their values are not even parsed into a column."""
-    kind = "map<string, struct<command:string,args:array<string>,env:map<string,string>>>"
+    kind, server = "map<string,string>", "command string, args array<string>, env map<string,string>"
     picked = files.where(basename(F.col("path")).isin(*CONFIG_NAMES)).where(F.octet_length("text") <= MOST_BYTES)
     doc = picked.select("path", F.from_json("text", f"mcpServers {kind}, mcp struct<servers:{kind}>").alias("d"))
     servers = doc.select("path", F.slice(F.map_entries(F.coalesce("d.mcpServers", "d.mcp.servers")), 1, MOST_SERVERS).alias("s"))
-    rows = servers.select("path", F.explode("s").alias("e")).where("e.key <> '' AND e.value IS NOT NULL")
-    rows = rows.select("path", F.col("e.key").alias("server"), F.col("e.value.command").alias("command"), package_argument(F.col("e.value.args")).alias("package"), F.map_keys("e.value.env").alias("env"))
+    # each entry on its own, so that a broken one doesn't take the others with it
+    rows = servers.select("path", F.explode("s").alias("e")).where("e.key <> '' AND ltrim(e.value) LIKE '{%'")
+    rows = rows.select("path", F.col("e.key").alias("server"), F.from_json("e.value", server).alias("v"))
+    rows = rows.select("path", "server", F.col("v.command").alias("command"), package_argument(F.col("v.args")).alias("package"), F.map_keys("v.env").alias("env"))
     rows = rows.select("*", normalize_id("path").alias("file_id"), make_id(stem(F.col("path")), F.lit("server"), F.col("server")).alias("server_id"))
     name = basename(F.col("command"))
     one = lambda kind, nid, label, rel: F.struct(F.lit(kind).alias("kind"), nid.alias("id"), label.alias("label"), F.lit(rel).alias("relation"))
