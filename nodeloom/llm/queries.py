@@ -26,4 +26,30 @@ QUERIES = {
     "p7_shares": lambda s, d: repetition.scored(table(s, d, "documents")),
 }
 
-SQL: dict[str, str] = {}
+
+
+def _letters(c: str) -> str:
+    return f"regexp_replace(lower(nfc_normalize({c})), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+def _copies(name: str) -> str:
+    key, fields = copies.RECORDS[name]
+    numbers = ("community", "confidence_score", "weight")
+    by = ", ".join(f if f in numbers else _letters(f) for f in fields)
+    return f"SELECT '{name}' AS table_name, min({key}) OVER (PARTITION BY {by}) AS first_key, {key} AS copy_key FROM {name}"
+
+
+_VALUE = "json_extract_string(p, '$.\"' || k || '\"')"
+_FRAGMENTS = f"""f AS (SELECT fragment_id, payload AS p FROM fragments WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+kv AS (SELECT fragment_id, p, unnest(json_keys(p)) AS k FROM f),
+c AS (SELECT fragment_id, list(k || CASE json_type(p, '$."' || k || '"') WHEN 'VARCHAR' THEN ':s' || {_letters(_VALUE)} WHEN 'NULL' THEN ':z' WHEN 'DOUBLE' THEN ':n' || {_VALUE}::DOUBLE WHEN 'BIGINT' THEN ':n' || {_VALUE}::DOUBLE WHEN 'UBIGINT' THEN ':n' || {_VALUE}::DOUBLE ELSE ':o' || {_VALUE} END ORDER BY k) AS r FROM kv GROUP BY 1)"""
+_CJK = r"[\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3021}-\x{3029}\x{3040}-\x{309A}\x{309D}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}]"
+SQL: dict[str, str] = {
+    "p4_found": f"WITH {_FRAGMENTS}, x AS ({_copies('graph_nodes')} UNION ALL {_copies('graph_edges')} UNION ALL SELECT 'fragments', min(fragment_id) OVER (PARTITION BY r), fragment_id FROM c) SELECT * FROM x WHERE first_key <> copy_key",
+    "p4_records": f"WITH {_FRAGMENTS}, x AS ({_copies('graph_nodes')} UNION ALL {_copies('graph_edges')} UNION ALL SELECT 'fragments', min(fragment_id) OVER (PARTITION BY r), fragment_id FROM c) SELECT table_name, first_key, count(*) AS copies FROM x GROUP BY 1, 2",
+    "p7_found": rf"""WITH w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(nfc_normalize(text)), '({_CJK})', ' \1 ', 'g'), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS ws FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, len(ws) AS k, i, array_to_string(ws[i:i+7], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) AS rn FROM g),
+c AS (SELECT DISTINCT doc_id, k, p FROM (SELECT doc_id, k, unnest(range(i, i + 8)) AS p FROM r WHERE rn > 1))
+SELECT doc_id FROM c GROUP BY doc_id, k HAVING count(*) * 5 >= k * 2""",
+}
