@@ -1,9 +1,7 @@
 """Entity resolution: near-duplicate labels to components, components to survivors.
 
 Every pair decision is independent of the others, so the result is the connected components of
-exact pairs within a file and verified fuzzy pairs. Candidates come from MinHash bands. A band's
-bucket is not expanded into all its pairs: its distinct labels meet the bucket's smallest label,
-and the others, in order, their neighbours; verification and components do the rest (README).
+exact pairs within a file and verified fuzzy pairs. Candidates come from MinHash bands.
 """
 
 from __future__ import annotations
@@ -106,16 +104,17 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return rows.where(entropy(F.col("key")) >= MIN_ENTROPY)
 
 
-def band_pairs(cands: DataFrame) -> DataFrame:
+def band_pairs(cands: DataFrame, reach: int = 50) -> DataFrame:
     """Distinct pairs of candidates that share a band, within a repo, a before b.
 
-    Labels are distinct here, so a bucket is a set of similar labels. Each meets the bucket's
-    first and its three predecessors in sorted order; a bucket of any size costs four pairs a row."""
+    Labels are distinct here, so a bucket is a set of different similar labels. Each meets the
+    bucket's first and its ``reach`` predecessors in sorted order: all pairs in buckets of up to
+    ``reach`` + 1 labels, and a cost in proportion to the rows in larger ones."""
     rows = cands.select("repo", "id", F.posexplode(bands()("key")).alias("band", "bucket"), "key")
     w = Window.partitionBy("repo", "band", "bucket").orderBy("key", "id")
-    first = F.first("id").over(w)
-    linked = rows.select("id", F.array(first, *[F.lag("id", k).over(w) for k in (1, 2, 3)]).alias("others"))
-    pairs = linked.select("id", F.explode(F.array_distinct("others")).alias("o")).where("o IS NOT NULL AND o <> id")
+    before = F.collect_list("id").over(w.rowsBetween(-reach, -1))
+    linked = rows.select("id", F.array_append(before, F.first("id").over(w)).alias("others"))
+    pairs = linked.select("id", F.explode(F.array_distinct("others")).alias("o")).where("o <> id")
     return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 

@@ -61,6 +61,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that :func:`materialize` has written so far; results that still need
+    them must have been used. Happens at exit as well."""
+    while _written:
+        _remove(spark, _written.pop())
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives the loss
     of executors, and lets an expensive narrow stage be read several times."""
@@ -70,7 +80,9 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
