@@ -7,6 +7,7 @@ the list of hot buckets, at most ``BUCKETS`` rows whatever the input.
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -131,11 +132,9 @@ def hot_buckets(df: DataFrame, cols: list[str], factor: float = 8.0, least: int
     has more than ``factor`` times the mean and more than ``least`` rows; it gets one salt for
     each ``max(factor * mean, least)`` rows. Returns {bucket: number of salts}, empty without skew.
     """
-    counts = df.groupBy(bucket(*cols).alias("b")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("k"))
-    limit = F.greatest(F.lit(float(least)), F.lit(factor) * F.col("t.n") / F.lit(float(BUCKETS)))
-    rows = counts.alias("c").join(F.broadcast(total.alias("t"))).where(F.col("c.n") > limit).select("c.b", F.ceil(F.col("c.n") / limit).cast("int").alias("salts"))
-    return {r["b"]: int(r["salts"]) for r in rows.collect()}
+    counts = df.groupBy(bucket(*cols).alias("b")).agg(F.count("*").alias("n")).collect()  # at most BUCKETS rows
+    limit = max(least, factor * sum(r["n"] for r in counts) / BUCKETS)
+    return {r["b"]: math.ceil(r["n"] / limit) for r in counts if r["n"] > limit}
 
 
 def with_salts(df: DataFrame, cols: list[str], salts: dict[int, int], spread_by: list[str] | None) -> DataFrame:
