@@ -15,6 +15,7 @@ times has the same length-normalised ratio as one that says it once. See the REA
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -91,19 +92,16 @@ def scored(docs: DataFrame, share: Fraction = Fraction(2, 5), n: int = 8, key: s
     Texts without words have share 0, no score and no flag. Without any repeat in the corpus the
     two multinomials are equal, every score is 0 and nothing is flagged."""
     events = materialize(word_events(docs, n, key), "events")
-    novel, repeat = (F.lit(x) for x in PRIOR)
-    prior = novel + repeat
-    corpus = events.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("w"), F.coalesce(F.sum("n_repeated"), F.lit(0)).alias("r"))
-    first = F.col("w") - F.col("r")  # the target's words: first occurrences only
-    ratios = corpus.select(
-        F.log((repeat / (first + prior)) / ((F.col("r") + repeat) / (F.col("w") + prior))).alias("on_repeat"),
-        F.log(((first + novel) / (first + prior)) / ((first + novel) / (F.col("w") + prior))).alias("on_novel"),
-    )
-    ratios = ratios.withColumn("threshold", F.lit(float(share)) * F.col("on_repeat") + F.lit(float(1 - share)) * F.col("on_novel"))
-    rows = events.join(F.broadcast(ratios))  # one row
+    corpus = events.agg(F.sum("n_words").alias("w"), F.sum("n_repeated").alias("r")).first()  # one row
+    w, r = corpus["w"] or 0, corpus["r"] or 0
+    novel, repeat = PRIOR
+    first, prior = w - r, novel + repeat  # the target's words: first occurrences only
+    on_repeat = math.log((repeat / (first + prior)) / ((r + repeat) / (w + prior)))
+    on_novel = math.log((w + prior) / (first + prior))
+    threshold = float(share) * on_repeat + float(1 - share) * on_novel
     part = F.col("n_repeated") / F.col("n_words")
-    llr = F.when(F.col("n_words") > 0, (F.col("n_repeated") * F.col("on_repeat") + (F.col("n_words") - F.col("n_repeated")) * F.col("on_novel")) / F.col("n_words"))
+    llr = F.when(F.col("n_words") > 0, (F.col("n_repeated") * on_repeat + (F.col("n_words") - F.col("n_repeated")) * on_novel) / F.col("n_words"))
     tie = F.col("n_repeated") * share.denominator >= F.col("n_words") * share.numerator
-    near = F.abs(F.col("llr") - F.col("threshold")) <= F.lit(1e-9) * F.abs("threshold")
-    flagged = (F.col("n_repeated") > 0) & F.coalesce(F.when(near, tie).otherwise(F.col("llr") < F.col("threshold")), F.lit(False))
-    return rows.withColumn("llr", llr).select(key, "n_words", "n_repeated", F.coalesce(F.when(F.col("n_words") > 0, part), F.lit(0.0)).alias("share"), "llr", "threshold", flagged.alias("flagged"))
+    near = F.abs(F.col("llr") - threshold) <= 1e-9 * abs(threshold)
+    flagged = (F.col("n_repeated") > 0) & F.coalesce(F.when(near, tie).otherwise(F.col("llr") < threshold), F.lit(False))
+    return events.withColumn("llr", llr).select(key, "n_words", "n_repeated", F.coalesce(F.when(F.col("n_words") > 0, part), F.lit(0.0)).alias("share"), "llr", F.lit(threshold).alias("threshold"), flagged.alias("flagged"))
