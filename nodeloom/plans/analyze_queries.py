@@ -246,7 +246,7 @@ def _(s, d):
     return analyze.path_tree(graph(s, d).nodes)
 
 
-@query("g44_common_root")
+@query("g44_common_root", sql("x AS (SELECT string_split(min(source_file), '/') AS a, string_split(max(source_file), '/') AS b FROM n WHERE source_file <> ''), i AS (SELECT a, b, unnest(range(1, least(len(a), len(b)) + 1)) AS i FROM x), m AS (SELECT max(i) AS m FROM i WHERE a[1:i] = b[1:i]) SELECT coalesce(array_to_string(a[1:m], '/'), '') AS root FROM x, m", "n"))
 def _(s, d):
     return analyze.common_root(graph(s, d).nodes)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from nodeloom.functions import text as tx
@@ -502,3 +504,31 @@ def _(s, d):
     from nodeloom.operators.build import simple
 
     return sinks.articles(simple(graph(s, d)))
+
+
+# more SQL
+
+_WIDE_ASCII = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u212a\u03f2\u03f9"
+_PLAIN_ASCII = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''") + "K\u03c2\u03a3"
+_HALF = "".join(chr(c) for c in range(0xFF66, 0xFFA0))
+_FULL = "".join({0xFF9E: "゙", 0xFF9F: "゚"}.get(c) or unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF66, 0xFFA0))
+_WIDTH = f"translate(translate(coalesce(label, id), '{_HALF}', '{_FULL}'), '{_WIDE_ASCII}', '{_PLAIN_ASCII}')"
+for _lig, _as in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl")):
+    _WIDTH = f"replace({_WIDTH}, '{_lig}', '{_as}')"
+SQL["d02_norm_label"] = sql(f"SELECT id, trim(regexp_replace(replace(replace(lower(nfc_normalize({_WIDTH})), 'ς', 'σ'), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS key FROM n", "n")
+
+
+def _xml_sql(c: str) -> str:
+    return f"replace(replace(replace(replace(regexp_replace(coalesce({c}, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _data_sql(key: str, c: str) -> str:
+    return f"'<data key=\"{key}\">' || {_xml_sql(c)} || '</data>'"
+
+
+SQL["k05_graphml"] = sql(
+    f"SELECT 0 AS part, seq, '<node id=\"' || {_xml_sql('id')} || '\">' || {_data_sql('label', 'label')} || {_data_sql('file_type', 'file_type')} || {_data_sql('source_file', 'source_file')} || {_data_sql('community', 'coalesce(community, -1)::VARCHAR')} || '</node>' AS line FROM n "
+    f"UNION ALL SELECT 1, seq, '<edge source=\"' || {_xml_sql('source')} || '\" target=\"' || {_xml_sql('target')} || '\">' || {_data_sql('relation', 'relation')} || {_data_sql('confidence', 'confidence')} || '</edge>' FROM g",
+    "g",
+)
+SQL["s04_shebang"] = "SELECT path, CASE WHEN text LIKE '#!%' THEN regexp_extract(split_part(trim(split_part(substr(text, 3), chr(10), 1)), ' ', 1), '[^/]*$', 0) END AS interpreter FROM source_files"
