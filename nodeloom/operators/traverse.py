@@ -27,10 +27,12 @@ def hub_threshold(degree: DataFrame, quantile: float = 0.99, least: int = 50) ->
 
 
 def adjacency(graph: Graph) -> DataFrame:
-    """(a, b): successors in a directed graph, else neighbours."""
+    """(a, b): successors in a directed graph, else neighbours. A simple graph has each pair once,
+    so nothing has to be made distinct."""
     if graph.directed:
-        return graph.edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
-    return graph.edges.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("x")).select("x.a", "x.b").distinct()
+        return graph.edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    both = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
+    return graph.edges.select(F.explode(F.array_distinct(both)).alias("x")).select("x.a", "x.b")
 
 
 def bfs(graph: Graph, seeds: DataFrame, depth: int, cutoff: bool = True) -> tuple[DataFrame, DataFrame]:
