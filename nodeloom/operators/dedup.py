@@ -104,18 +104,20 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return rows.where(entropy(F.col("key")) >= MIN_ENTROPY)
 
 
-def band_pairs(cands: DataFrame, reach: int = 50) -> DataFrame:
+def band_pairs(cands: DataFrame, block: int = 500) -> DataFrame:
     """Distinct pairs of candidates that share a band, within a repo, a before b.
 
-    Labels are distinct here, so a bucket is a set of different similar labels. Each meets the
-    bucket's first and its ``reach`` predecessors in sorted order: all pairs in buckets of up to
-    ``reach`` + 1 labels, and a cost in proportion to the rows in larger ones."""
-    rows = cands.select("repo", "id", F.posexplode(bands()("key")).alias("band", "bucket"), "key")
-    w = Window.partitionBy("repo", "band", "bucket").orderBy("key", "id")
-    before = F.collect_list("id").over(w.rowsBetween(-reach, -1))
-    linked = rows.select("id", F.array_append(before, F.first("id").over(w)).alias("others"))
-    pairs = linked.select("id", F.explode(F.array_distinct("others")).alias("o")).where("o <> id")
-    return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    Every two of a bucket meet. A bucket of more than ``block`` candidates is dealt over blocks by
+    hash of the id and every block meets every other as a group of its own, so no task has to hold
+    a bucket; the pairs themselves are as many as the bucket has."""
+    k = ["repo", "band", "bucket"]
+    rows = materialize(cands.select("repo", "id", F.posexplode(bands()("key")).alias("band", "bucket")), "bands")
+    sizes = rows.groupBy(*k).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    rows = rows.join(sizes, k).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = rows.select(*k, F.col("id").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = rows.select(*k, F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    pairs = left.join(right, [*k, "i", "j"]).where("i < j OR x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def exact_pairs(nodes: DataFrame) -> DataFrame:
