@@ -3,17 +3,90 @@
 All pivots advance together, one level a step: forward the number of shortest paths, back the
 dependencies. State is one row per pivot and node, written level by level; no task holds the
 graph. With all nodes as pivots the result is exact; with fewer it is the usual estimate, scaled.
+
+A graph of up to ``HELD`` edges is held by every task instead, as arrays of numbers, and the pivots
+are dealt over the tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.operators.traverse import adjacency
 from nodeloom.schema import Graph
 from nodeloom.session import materialize
 
+#: Edges up to which the tasks hold the graph; entries of a step's arrays in a task.
+HELD, CELLS = 3_000_000, 4_000_000
+
+
+def pivots_for(nodes: int, exact: int, sample: int = 100) -> int | None:
+    """All up to ``exact`` nodes, above ``sample`` of them."""
+    return None if nodes <= exact else sample
+
+
+def accumulate(n: int, a: np.ndarray, b: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed dependencies of nodes 0 to n - 1 and of the links (a, b), both directions, sorted by
+    a; every node has a link."""
+    starts = np.searchsorted(a, np.arange(n))
+    nodes, links = np.zeros(n), np.zeros(len(a))
+    size = max(1, CELLS // len(a))
+    for at in range(0, len(pivots), size):
+        some = pivots[at : at + size]
+        rows = np.arange(len(some))
+        depth, sigma = np.full((len(some), n), -1, np.int32), np.zeros((len(some), n))
+        depth[rows, some], sigma[rows, some], far = 0, 1.0, 0
+        while True:
+            paths = np.add.reduceat(np.where(depth == far, sigma, 0.0)[:, b], starts, axis=1)
+            new = (paths > 0) & (depth < 0)
+            if not new.any():
+                break
+            far += 1
+            depth[new], sigma[new] = far, paths[new]
+        delta = np.zeros((len(some), n))
+        for d in range(far, 0, -1):
+            share = np.divide(1 + delta, sigma, out=np.zeros_like(delta), where=depth == d)
+            flow = share[:, b] * np.where(depth == d - 1, sigma, 0.0)[:, a]
+            links += flow.sum(axis=0)
+            delta += np.add.reduceat(flow, starts, axis=1)
+        delta[rows, some] = 0
+        nodes += delta.sum(axis=0)
+    return nodes, links
+
+
+def _held(nodes: DataFrame, pairs: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, s) and (u, v, s): summed dependencies, by tasks that hold the graph of ``pairs``."""
+    spark = nodes.sparkSession
+    index = materialize(pairs.select(F.col("a").alias("id")).distinct().withColumn("i", F.row_number().over(Window.orderBy("id")) - 1), "index")  # bounded by HELD
+    of = lambda x, i: index.select(F.col("id").alias(x), F.col("i").alias(i))
+    numbered = pairs.where("a < b").join(of("a", "ia"), "a").join(of("b", "ib"), "b").select("ia", "ib")
+    packed = numbered.mapInPandas(lambda parts: (pd.DataFrame({"x": [p.to_numpy(np.int32).tobytes()]}) for p in parts), "x binary")
+    held, n = spark.sparkContext.broadcast(b"".join(r[0] for r in packed.toLocalIterator())), index.count()  # 8 bytes an edge
+    todo = chosen.join(index, "id").select("i").repartition(2 * spark.sparkContext.defaultParallelism)
+
+    def run(parts: Iterator[pd.DataFrame], edges: bool) -> Iterator[pd.DataFrame]:
+        mine = np.concatenate([p["i"].to_numpy() for p in parts] or [np.zeros(0, np.int64)])
+        if len(mine):
+            ends = np.frombuffer(held.value, np.int32).reshape(-1, 2)
+            a, b = np.concatenate([ends, ends[:, ::-1]]).T
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            nodes, links = accumulate(n, a, b, mine)
+            s = links if edges else nodes
+            at = np.flatnonzero(s)
+            x, y = (np.minimum(a[at], b[at]), np.maximum(a[at], b[at])) if edges else (at, at)
+            yield pd.DataFrame({"x": x, "y": y, "s": s[at]})
+
+    sums = lambda edges: todo.mapInPandas(lambda parts: run(parts, edges), "x int, y int, s double").groupBy("x", "y").agg(F.sum("s").alias("s"))
+    found = sums(False).join(of("id", "x"), "x").select("id", "s")
+    return found, sums(True).join(of("u", "x"), "x").join(of("v", "y"), "y").select("u", "v", "s")
+
 
 def betweenness(graph: Graph, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, betweenness) of nodes and (u, v, betweenness) of edges of an undirected simple graph,
@@ -24,6 +97,17 @@ def betweenness(graph: Graph, pivots: int | None = None) -> tuple[DataFrame, Dat
     if pivots is not None and pivots < n:
         chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(pivots)
     k = n if pivots is None else min(pivots, n)
+    few = pairs.count() <= 2 * HELD
+    sums, edges = _held(graph.nodes, pairs, chosen) if few else _joined(pairs, chosen)
+    scale = n / max(k, 1)
+    per_node = scale / max((n - 1) * (n - 2), 1)
+    nodes = graph.nodes.select("id").join(sums, "id", "left").select("id", F.coalesce(F.col("s") * per_node, F.lit(0.0)).alias("betweenness"))
+    every = pairs.where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v")).join(edges, ["u", "v"], "left")
+    return nodes, every.select("u", "v", F.coalesce(F.col("s") * scale / max(n * (n - 1), 1), F.lit(0.0)).alias("betweenness"))
+
+
+def _joined(pairs: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same by joins, a level of all pivots a step."""
     level = materialize(chosen.select(F.col("id").alias("p"), "id", F.lit(1.0).alias("sigma"), F.lit(0).alias("depth")), "level")
     levels, visited = [level], level.select("p", "id")
     while True:
@@ -34,7 +118,7 @@ def betweenness(graph: Graph, pivots: int | None = None) -> tuple[DataFrame, Dat
             break
         levels.append(level)
         visited = visited.unionByName(level.select("p", "id"))
-    spark = graph.nodes.sparkSession
+    spark = pairs.sparkSession
     deltas, flows = [], []
     below = spark.createDataFrame([], "p string, id string, sigma double, delta double")
     for at in range(len(levels) - 1, 0, -1):
@@ -45,20 +129,8 @@ def betweenness(graph: Graph, pivots: int | None = None) -> tuple[DataFrame, Dat
         flow = materialize(flow, "flow")
         flows.append(flow)
         below = flow.groupBy("p", F.col("a").alias("id")).agg(F.sum("c").alias("delta")).withColumn("sigma", F.lit(0.0))
-    scale = n / max(k, 1)
-    nodes = graph.nodes.select("id")
-    if deltas:
-        total = deltas[0]
-        for x in deltas[1:]:
-            total = total.unionByName(x)
-        sums = total.where("id <> p").groupBy("id").agg(F.sum("delta").alias("s"))
-        every = flows[0]
-        for x in flows[1:]:
-            every = every.unionByName(x)
-        edges = every.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("c").alias("s"))
-    else:
-        sums = nodes.select("id", F.lit(0.0).alias("s")).limit(0)
-        edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0.0).alias("s")).limit(0)
-    per_node = scale / max((n - 1) * (n - 2), 1)
-    nodes = nodes.join(sums, "id", "left").select("id", F.coalesce(F.col("s") * per_node, F.lit(0.0)).alias("betweenness"))
-    return nodes, edges.select("u", "v", (F.col("s") * scale / max(n * (n - 1), 1)).alias("betweenness"))
+    if not deltas:
+        return pairs.select(F.col("a").alias("id"), F.lit(0.0).alias("s")).limit(0), pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0.0).alias("s")).limit(0)
+    total, every = reduce(DataFrame.unionByName, deltas), reduce(DataFrame.unionByName, flows)
+    sums = total.where("id <> p").groupBy("id").agg(F.sum("delta").alias("s"))
+    return sums, every.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("c").alias("s"))

@@ -4,7 +4,10 @@ from itertools import combinations
 
 import pytest
 
-from nodeloom.operators import dedup
+from nodeloom.operators import build, centrality, dedup
+from nodeloom.plans import analyze_queries, catalog
+from nodeloom.plans.view import simple
+from tests.test_graph import adjacency, brandes, graph, random_pairs
 
 
 @pytest.mark.parametrize("block", [16, 500])
@@ -15,3 +18,36 @@ def test_band_pairs_meet_all_of_a_large_bucket(spark, block):
     got = [tuple(r) for r in dedup.band_pairs(spark.createDataFrame(rows, "id string, key string, repo string"), block).collect()]
     want = {p for repo in "rs" for p in combinations(sorted(i for i, _, r in rows if r == repo), 2)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("held", [centrality.HELD, 0])
+def test_betweenness_held_and_joined(spark, monkeypatch, held):
+    monkeypatch.setattr(centrality, "HELD", held)
+    monkeypatch.setattr(centrality, "CELLS", 100)
+    pairs = [p for p in random_pairs(5, 10, 14) if p[0] != p[1]]
+    nodes, edges = brandes(adjacency(pairs), sorted(adjacency(pairs)))
+    a, b = centrality.betweenness(build.simple(graph(spark, pairs, isolated=["z"])))
+    n = len(nodes)
+    assert {r.id: pytest.approx(r.betweenness * n * (n - 1)) for r in a.collect() if r.id != "z"} == {k: v * (n - 1) * (n - 2) for k, v in nodes.items()}
+    assert {(r.u, r.v): pytest.approx(r.betweenness * (n + 1) * n) for r in b.collect()} == {k: v * n * (n - 1) for k, v in edges.items()}
+
+
+def test_registered_betweenness_is_exact_on_a_small_graph(spark, sf):
+    g = simple(spark, sf)
+    ids = sorted(r.id for r in g.nodes.select("id").collect())
+    assert len(ids) <= 1000
+    near = adjacency([(r.u, r.v) for r in g.edges.where("u <> v").collect()])
+    nodes, edges = brandes(near, ids)
+    got = {r.id: r.betweenness for r in catalog.QUERIES["g12_betweenness"](spark, sf).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in nodes.items()}
+    got = {(r.u, r.v): r.betweenness for r in catalog.QUERIES["g13_edge_betweenness"](spark, sf).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in edges.items()}
+
+
+def test_registered_questions_name_bridges(spark, sf, monkeypatch):
+    pairs = [(f"{p}{i}", f"{p}{j}") for p in "ab" for i in range(4) for j in range(i)] + [("a0", "b0")]
+    labels = {f"{p}{i}": f"{p}{i} label" for p in "ab" for i in range(4)}
+    g = build.simple(graph(spark, pairs, labels=labels, communities={k: "ab".index(k[0]) for k in labels}))
+    monkeypatch.setattr(analyze_queries, "simple", lambda s, d: g)
+    got = [(r.kind, r.subject) for r in catalog.QUERIES["g11_questions"](spark, sf).collect()]
+    assert got == [("bridge_node", "a0"), ("bridge_node", "b0")]
