@@ -151,7 +151,7 @@ SELECT array_to_string([a], ' > ') AS cycle, 1 AS length FROM i2 WHERE a = b UNI
     ),
 )
 def _(s, d):
-    return analyze.cycles(analyze.import_edges(simple(s, d)), 4).select(F.array_join("cycle", " > ").alias("cycle"), "length")
+    return analyze.cycles(analyze.import_edges(simple(s, d))).select(F.array_join("cycle", " > ").alias("cycle"), "length")
 
 
 @query("g16_clusters")

@@ -51,3 +51,11 @@ def test_registered_questions_name_bridges(spark, sf, monkeypatch):
     monkeypatch.setattr(analyze_queries, "simple", lambda s, d: g)
     got = [(r.kind, r.subject) for r in catalog.QUERIES["g11_questions"](spark, sf).collect()]
     assert got == [("bridge_node", "a0"), ("bridge_node", "b0")]
+
+
+def test_registered_cycles_reach_five_files(spark, sf, monkeypatch):
+    ring = [(f"f{i}", f"f{(i + 1) % 5}") for i in range(5)]
+    g = build.simple(graph(spark, ring, relations=dict.fromkeys(ring, "imports_from")))
+    monkeypatch.setattr(analyze_queries, "simple", lambda s, d: g)
+    got = [tuple(r) for r in catalog.QUERIES["g15_import_cycles"](spark, sf).collect()]
+    assert got == [(" > ".join(f"src/f{i}.py" for i in range(5)), 5)]
