@@ -96,11 +96,6 @@ def as_map(entries: DataFrame, key: str = "id") -> DataFrame:
     return entries.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("attr", "value")))).alias("attrs"))
 
 
-def label_key(c: Column) -> Column:
-    """Label for comparisons on ASCII text: lower case, other than letters and digits to one space."""
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)[\W_]+", " "))
-
-
 def remap_edges(edges: DataFrame, remap: DataFrame) -> DataFrame:
     """Endpoints through (old, new); edges that become loops go."""
     for end in ("source", "target"):
@@ -117,7 +112,9 @@ def winner_rank(node_id: Column, seq: Column) -> Column:
 def merge_by_label(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, remap): nodes of one normal label merged into the preferred one. Nodes
     without a label key are dropped."""
-    keyed = nodes.withColumn("_k", label_key(F.coalesce("label", "id"))).where("_k <> ''")
+    from nodeloom.operators.dedup import norm_label
+
+    keyed = nodes.withColumn("_k", norm_label(F.coalesce("label", "id"))).where("_k <> ''")
     best = keyed.groupBy("_k").agg(F.min_by("id", winner_rank(F.col("id"), F.col("seq"))).alias("new"))
     remap = keyed.join(best, "_k").where("id <> new").select(F.col("id").alias("old"), "new").distinct()
     kept = keyed.join(best.select(F.col("new").alias("id")), "id", "left_semi").drop("_k")

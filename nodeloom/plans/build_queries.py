@@ -131,7 +131,7 @@ SELECT k.id AS old, w.new FROM k JOIN w ON w.k = k.k WHERE k.id <> w.new""",
 )
 def _(s, d):
     g = graph(s, d)
-    return build.merge_by_label(g.nodes.where(r"coalesce(label, id) RLIKE '^[\\x20-\\x7e]*\\z'"), g.edges)[2]
+    return build.merge_by_label(g.nodes, g.edges)[2]
 
 
 @query("b12_norm_source_file", "SELECT path, CASE WHEN starts_with(replace(path, chr(92), '/'), 'docs/') THEN substr(replace(path, chr(92), '/'), 6) ELSE replace(path, chr(92), '/') END AS rel FROM source_files")

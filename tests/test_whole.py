@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 
 from nodeloom.operators import build, centrality, dedup
-from nodeloom.plans import analyze_queries, catalog
+from nodeloom.plans import analyze_queries, build_queries, catalog
 from nodeloom.plans.view import simple
 from tests.test_graph import adjacency, brandes, graph, random_pairs
 
@@ -59,3 +59,11 @@ def test_registered_cycles_reach_five_files(spark, sf, monkeypatch):
     monkeypatch.setattr(analyze_queries, "simple", lambda s, d: g)
     got = [tuple(r) for r in catalog.QUERIES["g15_import_cycles"](spark, sf).collect()]
     assert got == [(" > ".join(f"src/f{i}.py" for i in range(5)), 5)]
+
+
+def test_labels_merge_in_all_scripts(spark, sf, monkeypatch):
+    labels = {"a": "Caf\u00e9 Map", "ab": "cafe\u0301_map", "b": "Parser", "bb": "\uff30\uff41\uff52\uff53\uff45\uff52", "c": "\u0413\u0440\u0430\u0444", "cc": "\u0433\u0440\u0430\u0444!", "d": "\u56f3 \u8868", "dd": "\u56f3_\u8868", "e": "Stra\u00dfe", "ee": "STRASSE", "f": "cafe map"}
+    g = graph(spark, [("a", "b")], labels=labels, isolated=labels)
+    monkeypatch.setattr(build_queries, "graph", lambda s, d: g)
+    got = {(r.old, r.new) for r in catalog.QUERIES["b11_merge_by_label"](spark, sf).collect()}
+    assert got == {("ab", "a"), ("bb", "b"), ("cc", "c"), ("dd", "d"), ("ee", "e")}
