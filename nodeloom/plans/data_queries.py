@@ -12,7 +12,7 @@ from nodeloom.operators import dedup, incremental, symbols
 from nodeloom.operators.analyze import CODE_SUFFIXES, DOC_SUFFIXES, IMAGE_SUFFIXES
 from nodeloom.plans.search_queries import form
 from nodeloom.plans.view import graph, raw_nodes, sql
-from nodeloom.session import table
+from nodeloom.session import materialize, table
 from nodeloom.sources import files
 
 QUERIES: dict = {}
@@ -166,6 +166,12 @@ def _pairs(s, d):
     return side("a").join(side("b"), ["community", "k"]).where("a_seq < b_seq").withColumn("same_community", F.lit(True))
 
 
+def _resolved(s, d):
+    """The pairs that entity resolution scores: of all nodes, by shared bands."""
+    cands = materialize(dedup.candidates(graph(s, d).nodes), "candidates")
+    return dedup.described_pairs(dedup.band_pairs(cands), cands)
+
+
 @query("d02_norm_label")
 def _(s, d):
     return graph(s, d).nodes.select("id", dedup.norm_label(F.coalesce("label", "id")).alias("key"))
@@ -190,7 +196,16 @@ def _(s, d):
 
 @query("d08_scores", sql(f"{_SCORED} SELECT a, b, round(jaro_similarity(ak, bk), 6) AS jaro, round(jaro_winkler_similarity(ak, bk), 6) AS jaro_winkler, round(score, 6) AS score FROM q", "n"))
 def _(s, d):
-    rows = dedup.scored(_pairs(s, d))
+    return _scores(_pairs(s, d))
+
+
+@query("d08_resolved_scores")
+def _(s, d):
+    return _scores(_resolved(s, d))
+
+
+def _scores(pairs):
+    rows = dedup.scored(pairs)
     return rows.select("a", "b", F.round(jaro(F.col("a_key"), F.col("b_key")), 6).alias("jaro"), F.round(jaro_winkler(F.col("a_key"), F.col("b_key")), 6).alias("jaro_winkler"), F.round("score", 6).alias("score"))
 
 
@@ -204,7 +219,15 @@ _ANCH = "((coalesce(at IN ('rationale', 'document'), false) OR coalesce(bt IN ('
 
 @query("d09_guards", sql(f"{_SCORED.replace('AS at', 'AS aty').replace('AS bt', 'AS bty')} SELECT a, b, {_VARIANT} AS variant, {_NUMS} AS numbers, {_EXT} AS extension, {_ANCH.replace('at IN', 'aty IN').replace('bt IN', 'bty IN')} AS anchored FROM q", "n"))
 def _(s, d):
-    p = _pairs(s, d)
+    return _guards(_pairs(s, d))
+
+
+@query("d09_resolved_guards")
+def _(s, d):
+    return _guards(_resolved(s, d))
+
+
+def _guards(p):
     a, b = F.col("a_key"), F.col("b_key")
     return p.select("a", "b", dedup.variant(a, b).alias("variant"), dedup.numbers_differ(a, b).alias("numbers"), dedup.extension(a, b).alias("extension"), dedup.anchored(p).alias("anchored"))
 
@@ -217,6 +240,11 @@ def _(s, d):
     return dedup.verified(_pairs(s, d)).select("a", "b")
 
 
+@query("d12_resolved_pairs")
+def _(s, d):
+    return dedup.verified(_resolved(s, d)).select("a", "b")
+
+
 _COMP = "pr AS (SELECT DISTINCT source AS a, target AS b FROM e WHERE relation IN ('semantically_similar_to', 'rationale_for')), ad AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), cw(id, r) AS (SELECT a, a FROM ad UNION SELECT ad.b, r FROM cw JOIN ad ON ad.a = cw.id WHERE r < ad.b)"
 
 

@@ -4,10 +4,12 @@ from itertools import combinations
 
 import pytest
 
+from nodeloom.functions.similarity import jaro_py, jaro_winkler_py, minhash_py
 from nodeloom.operators import build, centrality, dedup
-from nodeloom.plans import analyze_queries, build_queries, catalog
+from nodeloom.plans import analyze_queries, build_queries, catalog, data_queries
 from nodeloom.plans.view import simple
-from tests.test_graph import adjacency, brandes, graph, random_pairs
+from nodeloom.schema import Graph
+from tests.test_graph import EDGE, NODE, adjacency, brandes, graph, random_pairs
 
 
 @pytest.mark.parametrize("block", [16, 500])
@@ -67,3 +69,20 @@ def test_labels_merge_in_all_scripts(spark, sf, monkeypatch):
     monkeypatch.setattr(build_queries, "graph", lambda s, d: g)
     got = {(r.old, r.new) for r in catalog.QUERIES["b11_merge_by_label"](spark, sf).collect()}
     assert got == {("ab", "a"), ("bb", "b"), ("cc", "c"), ("dd", "d"), ("ee", "e")}
+
+
+def test_registered_pairs_equal_brute_force(spark, sf, monkeypatch):
+    labels = ["knowledge graph extraction pipeline", "knowledge graph extraction pipelinee", "xknowledge graph extraction pipeline", "\u043f\u043e\u0441\u0442\u0440\u043e\u0435\u043d\u0438\u0435 \u0433\u0440\u0430\u0444\u0430 \u0437\u043d\u0430\u043d\u0438\u0439", "\u043f\u043e\u0441\u0442\u0440\u043e\u0435\u043d\u0438\u0435 \u0433\u0440\u0430\u0444\u0430 \u0437\u043d\u0430\u043d\u0438\u0438", "r\u00e9solution des entit\u00e9s nomm\u00e9es", "r\u00e9solution des entit\u00e9s nomm\u00e9\u00e9s", "unrelated words here"]
+    rows = [(i, f"n{i}", x, "concept", f"f{i}.md", None, None if i % 3 == 0 else i % 3, "r") for i, x in enumerate(labels)]
+    g = Graph(spark.createDataFrame(rows, NODE), spark.createDataFrame([], EDGE))
+    monkeypatch.setattr(data_queries, "graph", lambda s, d: g)
+    keys = {f"n{i}": dedup.norm_label_py(x) for i, x in enumerate(labels)}
+    cut = lambda k: {(i, minhash_py(k)[9 * i : 9 * i + 9].tobytes()) for i in range(14)}
+    want = {(a, b): (round(jaro_py(keys[a], keys[b]), 6), round(jaro_winkler_py(keys[a], keys[b]), 6)) for a, b in combinations(sorted(keys), 2) if cut(keys[a]) & cut(keys[b])}
+    assert {("n0", "n1"), ("n3", "n4"), ("n5", "n6")} <= set(want)
+    got = {q: catalog.QUERIES[q](spark, sf).collect() for q in ("d08_resolved_scores", "d09_resolved_guards", "d12_resolved_pairs")}
+    assert {(r.a, r.b): (r.jaro, r.jaro_winkler) for r in got["d08_resolved_scores"]} == want
+    assert {(r.a, r.b): r.extension for r in got["d09_resolved_guards"]} == {(a, b): keys[a].startswith(keys[b]) or keys[b].startswith(keys[a]) for a, b in want}
+    together = lambda a, b: int(a[1:]) % 3 and int(a[1:]) % 3 == int(b[1:]) % 3
+    same = {(a, b) for (a, b), (j, _) in want.items() if 100 * j + 5 * bool(together(a, b)) >= 92 and not keys[b].startswith(keys[a])}
+    assert {(r.a, r.b) for r in got["d12_resolved_pairs"]} == same
