@@ -45,20 +45,22 @@ def graphml(graph: Graph) -> DataFrame:
     return n.unionByName(e)
 
 
-def notes(graph: Graph) -> DataFrame:
-    """(file, text): one note per node with front matter and links to its neighbours, as many as
-    fit: 500 by seq, the rest as a count (a hub's links would fill a note without bound)."""
+def notes(graph: Graph, most: int = 500) -> DataFrame:
+    """(id, file, text): one note per node with front matter and links to its neighbours by seq. A
+    node of more than ``most`` links has further notes with the next links, numbered from 2."""
     names = graph.nodes.select(F.col("id").alias("other"), safe_filename(F.coalesce("label", "id")).alias("name"))
     rows = analyze.neighbours(graph).join(names, "other")
     from pyspark.sql import Window
 
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("seq", "other")))
-    links = ranked.groupBy("id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("r") <= 500, F.struct("r", F.concat(F.lit("- [["), "name", F.lit("]] "), F.coalesce("relation", F.lit(""))).alias("l"))))).alias("m"))
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("seq", "other"))).withColumn("part", F.ceil(F.col("r") / most).cast("int"))
+    links = ranked.groupBy("id", "part").agg(F.sort_array(F.collect_list(F.struct("r", F.concat(F.lit("- [["), "name", F.lit("]] "), F.coalesce("relation", F.lit(""))).alias("l")))).alias("m"))
+    number = F.when(F.col("part") > 1, F.col("part").cast("string"))
     text = F.concat(
-        F.lit("---\nid: "), yaml_string(F.col("id")), F.lit("\ntype: "), yaml_string(F.coalesce("file_type", F.lit(""))), F.lit("\nsource_file: "), yaml_string(F.coalesce("source_file", F.lit(""))), F.lit("\n---\n\n# "), F.coalesce("label", "id"), F.lit("\n\n"),
-        F.coalesce(F.array_join("m.l", "\n"), F.lit("")), F.when(F.col("n") > 500, F.concat(F.lit("\n- and "), F.col("n") - 500, F.lit(" more"))).otherwise(""),
+        F.lit("---\nid: "), yaml_string(F.col("id")), F.lit("\ntype: "), yaml_string(F.coalesce("file_type", F.lit(""))), F.lit("\nsource_file: "), yaml_string(F.coalesce("source_file", F.lit(""))), F.coalesce(F.concat(F.lit("\npart: "), number), F.lit("")), F.lit("\n---\n\n# "), F.coalesce("label", "id"), F.lit("\n\n"),
+        F.coalesce(F.array_join("m.l", "\n"), F.lit("")),
     )
-    return graph.nodes.join(links, "id", "left").select("id", F.concat(safe_filename(F.coalesce("label", "id")), F.lit("_"), F.substring(F.sha1(F.col("id").cast("binary")), 1, 8), F.lit(".md")).alias("file"), text.alias("text"))
+    file = F.concat(safe_filename(F.coalesce("label", "id")), F.lit("_"), F.substring(F.sha1(F.col("id").cast("binary")), 1, 8), F.coalesce(F.concat(F.lit("_"), number), F.lit("")), F.lit(".md"))
+    return graph.nodes.join(links, "id", "left").select("id", file.alias("file"), text.alias("text"))
 
 
 def articles(graph: Graph, top: int = 25) -> DataFrame:

@@ -86,3 +86,13 @@ def test_registered_pairs_equal_brute_force(spark, sf, monkeypatch):
     together = lambda a, b: int(a[1:]) % 3 and int(a[1:]) % 3 == int(b[1:]) % 3
     same = {(a, b) for (a, b), (j, _) in want.items() if 100 * j + 5 * bool(together(a, b)) >= 92 and not keys[b].startswith(keys[a])}
     assert {(r.a, r.b) for r in got["d12_resolved_pairs"]} == same
+
+
+def test_notes_hold_all_links_of_a_hub(spark):
+    from nodeloom import sinks
+
+    g = build.simple(graph(spark, [("hub", f"x{i:04}") for i in range(1201)]))
+    rows = [r for r in sinks.notes(g).collect() if r.id == "hub"]
+    links = [x for r in sorted(rows, key=lambda r: (len(r.file), r.file)) for x in r.text.splitlines() if x.startswith("- ")]
+    assert links == [f"- [[x{i:04}]] calls" for i in range(1201)]
+    assert len({r.file for r in rows}) == 3 and max(r.text.count("- [[") for r in rows) == 500
