@@ -2,8 +2,10 @@
 
 Each round scores, for every node, the communities of its neighbours (one aggregation by node and
 community) and moves the nodes of one hash parity to their best one, so two neighbours rarely swap
-places. After some rounds communities become nodes and the next level starts. Totals per community
-and the assignment are written between rounds. Results are deterministic.
+places. Two rounds give every node its turn; they are repeated until that raises the modularity by
+less than ``LEAST_GAIN``, then communities become nodes and the next level starts, until a level
+gains less than that. Totals per community and the assignment are written between rounds. Results
+are deterministic.
 """
 
 from __future__ import annotations
@@ -23,15 +25,31 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(ends.alias("x"), "w").groupBy("x.a", "x.b").agg(F.sum("w").alias("w"))
 
 
-def partition(edges: DataFrame, rounds: int = 4, levels: int = 2, resolution: float = 1.0) -> DataFrame:
-    """(id, c): community of every node of (u, v, w), named by one of its nodes."""
+#: Rise of modularity from which another pass or level is made.
+LEAST_GAIN = 1e-4
+
+
+def modularity(links: DataFrame, here: DataFrame, strength: DataFrame, m2: float, resolution: float = 1.0) -> float:
+    """Modularity of the assignment ``here`` (id, c) of (a, b, w), both directions."""
+    ca, cb = here.select(F.col("id").alias("a"), F.col("c").alias("ca")), here.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+    inside = links.join(ca, "a").join(cb, "b").where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("x")).first()["x"]
+    squares = strength.join(here, "id").groupBy("c").agg(F.sum("k").alias("t")).agg(F.coalesce(F.sum(F.col("t") * F.col("t")), F.lit(0.0)).alias("x")).first()["x"]
+    return inside / m2 - resolution * squares / m2**2
+
+
+def partition(edges: DataFrame, rounds: int | None = None, levels: int | None = None, resolution: float = 1.0) -> DataFrame:
+    """(id, c): community of every node of (u, v, w), named by one of its nodes. ``rounds`` and
+    ``levels``: at most that many, None: until the gain is too small."""
     links = materialize(_both(edges), "links")
     m2 = links.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("m")).first()["m"] or 1.0
     whole = materialize(links.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")), "assignment")
-    for level in range(levels):
+    level, start = 0, None
+    while levels is None or level < levels:
         strength = materialize(links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "strength")
         here = materialize(strength.select("id", F.col("id").alias("c")), "assignment")
-        for r in range(rounds):
+        start = modularity(links, here, strength, m2, resolution) if start is None else start
+        now, kept, r = start, here, 0
+        while rounds is None or r < rounds:
             total = strength.join(here, "id").groupBy("c").agg(F.sum("k").alias("tot"))
             near = links.where("a <> b").join(here.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("kin"))
             own = here.select("id", F.col("c").alias("own")).join(strength, "id")
@@ -44,8 +62,19 @@ def partition(edges: DataFrame, rounds: int = 4, levels: int = 2, resolution: fl
             turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
             moved = best.where(turn & (F.col("gain") > 0)).select("id", "best")
             here = materialize(here.join(moved, "id", "left").select("id", F.coalesce("best", "c").alias("c")), "assignment")
+            r += 1
+            if r % 2 == 0 or r == rounds:
+                q = modularity(links, here, strength, m2, resolution)
+                kept, gain_of_pass, now = (here, q - now, q) if q > now else (kept, 0.0, now)
+                if gain_of_pass < LEAST_GAIN:
+                    break
+        here = kept
         whole = materialize(whole.join(here.select(F.col("id").alias("c"), F.col("c").alias("n")), "c").select("id", F.col("n").alias("c")), "assignment")
-        if level + 1 < levels:
+        level += 1
+        if now - start < LEAST_GAIN:
+            break
+        start = now
+        if levels is None or level < levels:
             ca, cb = here.select(F.col("id").alias("a"), F.col("c").alias("ca")), here.select(F.col("id").alias("b"), F.col("c").alias("cb"))
             links = materialize(links.join(ca, "a").join(cb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links")
     return whole
@@ -92,7 +121,7 @@ def attach_hubs(graph: Graph, members: DataFrame, hub_ids: DataFrame, most: int
     return members.unionByName(spark.createDataFrame(list(placed.items()), "id string, c string"))
 
 
-def split(graph: Graph, members: DataFrame, chosen: DataFrame, rounds: int) -> DataFrame:
+def split(graph: Graph, members: DataFrame, chosen: DataFrame, rounds: int | None) -> DataFrame:
     """(id, c): the chosen communities (c) partitioned again on their own, all at once: their
     inner edges are one graph without links between them."""
     part = members.join(chosen, "c", "left_semi")
@@ -100,13 +129,13 @@ def split(graph: Graph, members: DataFrame, chosen: DataFrame, rounds: int) -> D
         return members
     a, b = part.select(F.col("id").alias("u"), F.col("c").alias("cu")), part.select(F.col("id").alias("v"), F.col("c").alias("cv"))
     inner = graph.edges.select("u", "v").join(a, "u").join(b, "v").where("cu = cv").select("u", "v", F.lit(1.0).alias("w"))
-    again = partition(inner, rounds, 1)
+    again = partition(inner, rounds)
     # nodes without inner edges become communities of their own
     out = part.select("id").join(again, "id", "left").select("id", F.concat(F.lit("+"), F.coalesce("c", "id")).alias("c"))
     return materialize(members.join(chosen, "c", "left_anti").select("id", "c").unionByName(out), "assignment")
 
 
-def cluster(graph: Graph, rounds: int = 4, levels: int = 2, resolution: float = 1.0, hub_percentile: float | None = None, most_share: float = 0.25, least_split: int = 10, loose: float = 0.05, least_loose: int = 50) -> DataFrame:
+def cluster(graph: Graph, rounds: int | None = None, levels: int | None = None, resolution: float = 1.0, hub_percentile: float | None = None, most_share: float = 0.25, least_split: int = 10, loose: float = 0.05, least_loose: int = 50) -> DataFrame:
     """(id, community) of every node of an undirected simple graph.
 
     Isolated nodes are communities of their own. Communities over ``most_share`` of the graph (and

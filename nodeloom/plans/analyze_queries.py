@@ -156,7 +156,7 @@ def _(s, d):
 
 @query("g16_clusters")
 def _(s, d):
-    return community.cluster(simple(s, d), rounds=2, levels=2)
+    return community.cluster(simple(s, d))
 
 
 @query("g20_reindexed", sql("c AS (SELECT community AS old, count(*) AS size, min(id) AS first FROM n WHERE community IS NOT NULL GROUP BY community) SELECT old, size, (row_number() OVER (ORDER BY size DESC, first) - 1)::INT AS community FROM c", "n"))

@@ -96,3 +96,13 @@ def test_notes_hold_all_links_of_a_hub(spark):
     links = [x for r in sorted(rows, key=lambda r: (len(r.file), r.file)) for x in r.text.splitlines() if x.startswith("- ")]
     assert links == [f"- [[x{i:04}]] calls" for i in range(1201)]
     assert len({r.file for r in rows}) == 3 and max(r.text.count("- [[") for r in rows) == 500
+
+
+def test_registered_clusters_run_until_settled(spark, sf, monkeypatch):
+    # a ring of cliques, its communities known: two rounds leave fragments
+    pairs = [(f"{c:02}_{i}", f"{c:02}_{j}") for c in range(12) for i in range(8) for j in range(i)] + [(f"{c:02}_0", f"{(c + 1) % 12:02}_1") for c in range(12)]
+    g = build.simple(graph(spark, pairs))
+    monkeypatch.setattr(analyze_queries, "simple", lambda s, d: g)
+    of = {r.id: r.community for r in catalog.QUERIES["g16_clusters"](spark, sf).collect()}
+    assert len({frozenset(x for x in of if of[x] == c) for c in of.values()}) == 12
+    assert all(of[f"{c:02}_{i}"] == of[f"{c:02}_0"] for c in range(12) for i in range(8))
