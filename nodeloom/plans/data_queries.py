@@ -90,6 +90,16 @@ def _(s, d):
     return _paths(s, d).select("node_seq", files.keyword_hit(F.regexp_extract("p", "[^/]*$", 0)).alias("hit"))
 
 
+@query("s05_sensitive_files")
+def _(s, d):
+    return _src(s, d).where("path IS NOT NULL").select("path", files.sensitive(F.col("path")).alias("sensitive"))
+
+
+@query("s06_keyword_hit_files")
+def _(s, d):
+    return _src(s, d).where("path IS NOT NULL").select("path", files.keyword_hit(F.regexp_extract("path", "[^/]*$", 0)).alias("hit"))
+
+
 PATTERNS = [("", "attic/"), ("", "docs/**/reader_*"), ("", "!docs/notes/reader_*"), ("docs", "/reports/*.md"), ("", "*.rst"), ("", "*.RST")]
 
 

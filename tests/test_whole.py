@@ -106,3 +106,12 @@ def test_registered_clusters_run_until_settled(spark, sf, monkeypatch):
     of = {r.id: r.community for r in catalog.QUERIES["g16_clusters"](spark, sf).collect()}
     assert len({frozenset(x for x in of if of[x] == c) for c in of.values()}) == 12
     assert all(of[f"{c:02}_{i}"] == of[f"{c:02}_0"] for c in range(12) for i in range(8))
+
+
+def test_real_paths_are_classified(spark, sf, monkeypatch):
+    paths = ["docs/\u0437\u0430\u043c\u0435\u0442\u043a\u0430.md", ".ssh/caf\u00e9.txt", "a/api_token.txt", "a/\u00e9t\u00e9+plan (1).md", None]
+    monkeypatch.setattr(data_queries, "_src", lambda s, d: spark.createDataFrame([(p,) for p in paths], "path string"))
+    got = {r.path: r.sensitive for r in catalog.QUERIES["s05_sensitive_files"](spark, sf).collect()}
+    assert got == {paths[0]: False, paths[1]: True, paths[2]: True, paths[3]: False}
+    got = {r.path: r.hit for r in catalog.QUERIES["s06_keyword_hit_files"](spark, sf).collect()}
+    assert got == {paths[0]: False, paths[1]: False, paths[2]: True, paths[3]: False}
