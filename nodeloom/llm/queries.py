@@ -22,7 +22,7 @@ QUERIES = {
     "p4_records": lambda s, d: copies.collapsed(_records(s, d)),
     "p5_ids": lambda s, d: encode.encode_texts(table(s, d, "documents")),
     "p6_containers": lambda s, d: packing.pack_budgets(_counts(s, d), table(s, d, "token_budgets")),
-    "p7_found": lambda s, d: repetition.scored(table(s, d, "documents")).where("flagged").select("doc_id"),
+    "p7_found": lambda s, d: repetition.scored(table(s, d, "documents"), every=False).where("flagged").select("doc_id"),
     "p7_shares": lambda s, d: repetition.scored(table(s, d, "documents")),
 }
 

@@ -1,16 +1,25 @@
 """Repetition inside a single document.
 
-Every run of ``n`` words is hashed; a word is a *repeat* if it stands in a run whose hash occurred
-earlier in the same text (and whose words prove equal), else it is *novel*. The two kinds of
-events form multinomials: the trusted target is the corpus with only first occurrences kept, the
-raw corpus is the corpus as it lies. A document's score is the log-likelihood ratio of its events
-between the two, divided by their number. As the target gives repeats less weight than the raw
-corpus does, the score falls strictly with the share of repeats, so the threshold for a share is
-the score that a document of just that share has: one deterministic rule for every document, and
-the same rows at every corpus size. Ties with the threshold are settled in whole numbers.
-
-Corpus-wide gram probabilities alone could not do it: a text that says an ordinary paragraph three
-times has the same length-normalised ratio as one that says it once. See the README.
+The features of a text are its word n-grams, hashed, each with whether it occurred before in the
+same text: ``BUCKETS`` buckets of first and as many of further occurrences. Two multinomials are
+counted over all documents:
+
+- *raw*: the whole corpus;
+- *trusted target*: the documents in which no n-gram occurs twice.
+
+A document's score is the log-likelihood ratio of its features, target against raw, divided by
+their number. Every document whose score is not above :func:`threshold` is a candidate, and only
+candidates have their words compared one by one.
+
+No case is lost. With T and R features in target and raw, counts t <= r in a bucket and a
+pseudo-count a, each feature adds log((t + a) / (r + a)) + K, where K = log((R + 2Ba) / (T + 2Ba)).
+A first occurrence adds K at most; a further one has t = 0 and r >= 1 and adds K - log((1 + a) / a)
+at most. If a share s of a text's words stands in repeated runs, at least s / n of its n-grams are
+further occurrences (each covers n words), so its score is at most K - s / n * log((1 + a) / a):
+the threshold. It depends on the corpus's two totals only.
+
+The occurrence belongs to the feature because corpus-wide n-gram counts alone can't tell a text
+that says an ordinary paragraph three times from one that says it once.
 """
 
 from __future__ import annotations
@@ -19,20 +28,24 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.session import materialize, spread
+from nodeloom.session import spread
 
 # Characters that are words of their own (Han, Hiragana, Katakana and its half-width form).
 _CJK = "⺀-⿟々-〇〡-〩぀-゚ゝ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
 _WORD = re.compile(f"[{_CJK}]|[^\\W\\d_{_CJK}]+")
-#: Pseudo-counts of (novel, repeat) events in both multinomials.
-PRIOR = (1.0, 0.01)
+#: Buckets of first occurrences, and of further ones; bounds what is collected and broadcast.
+BUCKETS = 1 << 16
+#: Pseudo-count of each bucket in both multinomials.
+PRIOR = 1e-3
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -43,18 +56,45 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def repeated_words(ws: list[str], n: int = 8) -> int:
-    """How many words stand in runs of n or more words that began earlier in the text as well."""
-    if len(ws) <= n:
-        return 0
-    ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(w, len(ids)) for w in ws], np.uint64)
-    m = len(a) - n + 1
+class _Numbers(dict):
+    """64-bit numbers of words, the same in every task; emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        got = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return got
+
+
+def gram_hashes(a: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, given as numbers; none for a shorter text."""
+    m = max(0, len(a) - n + 1)
     h = np.zeros(m, np.uint64)
     for k in range(n):
         h = (h ^ a[k : k + m]) * np.uint64(_MULTIPLIER)
         h ^= h >> np.uint64(32)
+    return h
+
+
+def features(h: np.ndarray) -> np.ndarray:
+    """Bucket of each n-gram: below ``BUCKETS`` at its first occurrence in the text, else above."""
     order = np.argsort(h, kind="stable")
+    again = np.zeros(len(h), np.int64)
+    again[order[1:]] = h[order][1:] == h[order][:-1]
+    return (h % np.uint64(BUCKETS)).astype(np.int64) + BUCKETS * again
+
+
+def repeated_words(ws: list[str], n: int = 8) -> int:
+    """How many words stand in runs of n or more words that occurred earlier in the text as well.
+
+    Exact: runs are compared word by word wherever their hashes agree."""
+    ids: dict[str, int] = {}
+    return _covered(np.array([ids.setdefault(w, len(ids)) for w in ws], np.uint64), n)
+
+
+def _covered(a: np.ndarray, n: int) -> int:
+    h = gram_hashes(a, n)
+    m, order = len(h), np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     if not same.any():
         return 0
@@ -71,37 +111,77 @@ def repeated_words(ws: list[str], n: int = 8) -> int:
     return int(np.count_nonzero(np.cumsum(edge)))
 
 
-def word_events(docs: DataFrame, n: int = 8, key: str = "doc_id") -> DataFrame:
-    """(key, n_words, n_repeated) of every row; a null text has no words."""
+@dataclass
+class Multinomials:
+    """Counts of all feature buckets in the raw corpus and in the trusted target."""
+
+    raw: np.ndarray
+    target: np.ndarray
+
+    @property
+    def total(self) -> float:
+        """K of the module's text."""
+        size = len(self.raw) * PRIOR
+        return math.log((self.raw.sum() + size) / (self.target.sum() + size))
+
+    def ratios(self) -> np.ndarray:
+        """Log-likelihood ratio of each bucket."""
+        return np.log((self.target + PRIOR) / (self.raw + PRIOR)) + self.total
+
+    def threshold(self, share: Fraction, n: int) -> float:
+        return self.total - float(share) / n * math.log((1 + PRIOR) / PRIOR)
+
+
+def count_features(docs: DataFrame, n: int = 8, key: str = "doc_id") -> Multinomials:
+    """Both multinomials over all documents: added up per task, then per bucket; what reaches the
+    driver is at most ``2 * BUCKETS`` rows whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, raw, target = _Numbers(), np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch.column(1):
+                at = features(gram_hashes(np.array([numbers[w] for w in words(text.as_py() or "")], np.uint64), n))
+                np.add.at(raw, at, 1)
+                if len(at) and at.max() < BUCKETS:
+                    np.add.at(target, at, 1)
+        there = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(raw[there]), pa.array(target[there])], ["bucket", "r", "t"])
+
+    counts = spread(docs.select(key, "text")).mapInArrow(run, "bucket long, r long, t long")
+    rows = counts.groupBy("bucket").agg(F.sum("r").alias("r"), F.sum("t").alias("t")).toArrow()
+    got = Multinomials(np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64))
+    at = rows.column("bucket").to_numpy()
+    got.raw[at], got.target[at] = rows.column("r").to_numpy(), rows.column("t").to_numpy()
+    return got
+
+
+def scored(docs: DataFrame, share: Fraction = Fraction(2, 5), n: int = 8, key: str = "doc_id", every: bool = True, counted: Multinomials | None = None) -> DataFrame:
+    """(key, n_words, n_repeated, share, llr, threshold, flagged), one row per row of ``docs``.
+
+    ``flagged``: the score is not above the threshold and, word by word, at least ``share`` of the
+    words are repeated. Texts of fewer than n words, empty and null ones have no score and no
+    flag. ``every`` gives the exact share of all rows; without it, n_repeated and share are null
+    where the score settles the matter. ``counted``: multinomials of an earlier count."""
+    counted = counted or count_features(docs, n, key)
+    limit = counted.threshold(share, n)
+    table = docs.sparkSession.sparkContext.broadcast(counted.ratios())
+    low = limit + 1e-9 * (1 + abs(limit))  # sums of floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, ratios = _Numbers(), table.value
         for batch in batches:
-            total, repeated = [], []
+            rows = []
             for text in batch.column(1):
                 ws = words(text.as_py() or "")
-                total.append(len(ws))
-                repeated.append(repeated_words(ws, n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(repeated, pa.int64())], [key, "n_words", "n_repeated"])
-
-    return spread(docs.select(key, "text")).mapInArrow(run, f"{key} long, n_words long, n_repeated long")
-
-
-def scored(docs: DataFrame, share: Fraction = Fraction(2, 5), n: int = 8, key: str = "doc_id") -> DataFrame:
-    """(key, n_words, n_repeated, share, llr, threshold, flagged) of every row.
-
-    Texts without words have share 0, no score and no flag. Without any repeat in the corpus the
-    two multinomials are equal, every score is 0 and nothing is flagged."""
-    events = materialize(word_events(docs, n, key), "events")
-    corpus = events.agg(F.sum("n_words").alias("w"), F.sum("n_repeated").alias("r")).first()  # one row
-    w, r = corpus["w"] or 0, corpus["r"] or 0
-    novel, repeat = PRIOR
-    first, prior = w - r, novel + repeat  # the target's words: first occurrences only
-    on_repeat = math.log((repeat / (first + prior)) / ((r + repeat) / (w + prior)))
-    on_novel = math.log((w + prior) / (first + prior))
-    threshold = float(share) * on_repeat + float(1 - share) * on_novel
-    part = F.col("n_repeated") / F.col("n_words")
-    llr = F.when(F.col("n_words") > 0, (F.col("n_repeated") * on_repeat + (F.col("n_words") - F.col("n_repeated")) * on_novel) / F.col("n_words"))
-    tie = F.col("n_repeated") * share.denominator >= F.col("n_words") * share.numerator
-    near = F.abs(F.col("llr") - threshold) <= 1e-9 * abs(threshold)
-    flagged = (F.col("n_repeated") > 0) & F.coalesce(F.when(near, tie).otherwise(F.col("llr") < threshold), F.lit(False))
-    return events.withColumn("llr", llr).select(key, "n_words", "n_repeated", F.coalesce(F.when(F.col("n_words") > 0, part), F.lit(0.0)).alias("share"), "llr", F.lit(threshold).alias("threshold"), flagged.alias("flagged"))
+                at = features(gram_hashes(np.array([numbers[w] for w in ws], np.uint64), n))
+                llr = float(ratios[at].mean()) if len(at) else None
+                candidate = llr is not None and llr <= low
+                repeated = repeated_words(ws, n) if candidate or every else None
+                flagged = candidate and repeated > 0 and repeated * share.denominator >= len(ws) * share.numerator
+                rows.append((len(ws), repeated, None if repeated is None else repeated / max(1, len(ws)), llr, flagged))
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], [key, "n_words", "n_repeated", "share", "llr", "flagged"])
+
+    rows = spread(docs.select(key, "text")).mapInArrow(run, f"{key} long, n_words long, n_repeated long, share double, llr double, flagged boolean")
+    return rows.select(key, "n_words", "n_repeated", "share", "llr", F.lit(limit).alias("threshold"), "flagged")
