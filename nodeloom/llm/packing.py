@@ -65,7 +65,8 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[P
     nothing else fits beside j, if k fills the container exactly, or if k is the largest that fits
     and no two others fit together that would not go in k's place. An exact fill dominates for any
     j, so those are fixed for every size; the other rules are tried from the largest size down
-    until the first size that they don't settle, again and again while anything changes."""
+    until the first size that they don't settle. Every step uses up a size (or its pairs), so the
+    steps are bounded by the number of sizes, however many items there are."""
     left, fixed = _Sizes(counts), []
 
     def fix(pattern: Pattern, k: int) -> None:
@@ -97,7 +98,8 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[P
         pairs_in_k = not alone and (len(least) < 3 or sum(least) > room) and _largest_pair(left, room, j) <= k
         if not (alone or pairs_in_k):
             break
-        times = max(1, left.n[j] // 2) if k == j else min(left.n[j], left.n[k]) if alone else 1
+        # taking j and k away leaves fewer sets to dominate, so the rule holds until one runs out
+        times = max(1, left.n[j] // 2) if k == j else min(left.n[j], left.n[k])
         fix([(j, 2)] if k == j else [(j, 1), (k, 1)], times)
     return fixed, dict(left.n)
 

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -67,6 +68,19 @@ def test_reduction_keeps_the_optimum():
     assert fixed_any > 400
 
 
+@pytest.mark.parametrize("sizes", [(600, 390, 190, 195), (501, 499, 251, 249, 120), (700, 150, 149, 90), (334, 333, 332, 331)])
+def test_runs_do_not_grow_with_the_items(sizes):
+    runs = []
+    for items in (2_000, 1_000_000):
+        counts = {s: items // len(sizes) for s in sizes}
+        began = time.process_time()
+        got, _ = packing.plan(counts, 1000)
+        assert time.process_time() - began < 1
+        assert sum(high - low for _, low, high, *_ in got) == items // len(sizes) * len(sizes)
+        runs.append(len(got))
+    assert runs[1] <= runs[0] + 8 <= 60
+
+
 def test_largest_pair():
     r = random.Random(2)
     for _ in range(300):
