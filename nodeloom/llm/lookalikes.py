@@ -1,10 +1,10 @@
 """Labels that look the same but differ in characters.
 
-A label is read as a sequence of *units*: full-width, half-width and ligature forms replaced by
-what they stand for, blanks by a space, the rest canonically decomposed, so that a letter and its
-accents are units of their own. A weighted edit automaton runs over the vocabulary's trie of unit
-classes: a look-alike unit and an ignorable one cost nothing, any other substitution, insertion or
-deletion costs 1; with ``max_cost`` 0 only names that read the same are reached.
+A character stands for *units*: full-width, half-width and ligature forms for what they show,
+blanks for a space, the rest for their canonical decomposition, so that a letter and its accents
+are units of their own. A weighted edit automaton reads the characters of a label over the trie of
+the vocabulary's names: a look-alike unit and an ignorable character cost nothing, any other
+substitution, insertion or deletion costs 1; at cost 0 the names that read the same are reached.
 
 :func:`canonical_labels` gives the matched name's own spelling, or, for labels outside the
 vocabulary, each token respelled by table: the letters of a look-alike class come out in the one
@@ -18,20 +18,23 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-# Letters and signs that are drawn alike, first the one that names the class.
+# Letters and signs that are drawn alike (Cyrillic, Greek, Armenian, Coptic, Cherokee, Lisu,
+# Roman numerals; kana and Han), first the one that names the class.
 LOOKALIKES = {
     "latin": {
-        "a": "аɑ", "c": "сϲⅽ", "d": "ԁⅾ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іⅰ", "j": "јϳ", "l": "ӏⅼ", "m": "ⅿ", "n": "ո", "o": "оοօ",
-        "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "νѵⅴ", "w": "ԝ", "x": "хⅹ", "y": "у",
-        "A": "АΑ", "B": "ВΒ", "C": "СϹⅭ", "D": "Ⅾ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀⅠ", "J": "Ј", "K": "КΚ", "L": "Ⅼ", "M": "МΜⅯ", "N": "Ν", "O": "ОΟՕ",
-        "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ⅴ", "W": "Ԝ", "X": "ХΧⅩ", "Y": "ҮΥ", "Z": "Ζ",
+        "a": "аɑαⲁ", "c": "сϲⅽⲥ", "d": "ԁⅾ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іⅰιⲓ", "j": "јϳ", "l": "ӏⅼ",
+        "m": "ⅿ", "n": "ո", "o": "оοօⲟ", "p": "рρⲣ", "q": "ԛզ", "s": "ѕ", "u": "սυ", "v": "νѵⅴ", "w": "ԝ",
+        "x": "хⅹ", "y": "уүγ", "A": "АΑᎪꓮⲀ", "B": "ВΒᏴꓐⲂ", "C": "СϹⅭᏟꓚⲤ", "D": "ⅮᎠꓓ", "E": "ЕΕᎬꓰⲈ", "F": "ꓝ", "G": "Ꮐꓖ",
+        "H": "НΗᎻꓧⲎ", "I": "ІΙӀⅠꓲⲒ", "J": "ЈᎫꓙ", "K": "КΚᏦꓗⲔ", "L": "ⅬᏞꓡ", "M": "МΜⅯᎷꓟⲘ", "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ",
+        "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔⲦ", "U": "Սꓴ", "V": "ⅤᏙꓦ", "W": "ԜᎳꓪ", "X": "ХΧⅩꓫⲬ", "Y": "ҮΥꓬⲨ",
+        "Z": "ΖᏃꓜ",
     },
     "cyrillic": {"к": "κ", "п": "π", "ф": "ɸ", "Г": "Γ", "П": "Π", "Ф": "Φ", "Л": "Λ"},
     "kana": {"カ": "力", "ロ": "口", "ト": "卜", "ニ": "二", "ハ": "八", "エ": "工", "タ": "夕", "ヘ": "へ", "リ": "り", "ー": "一"},
@@ -78,53 +81,74 @@ def classes(text: str) -> str:
 
 
 class Trie:
-    """Vocabulary trie over unit classes, run through by the edit automaton."""
+    """Vocabulary trie over the names' units, run through by a weighted edit automaton.
+
+    The automaton reads a label character by character; a state is a trie node with the cost of
+    reaching it. An ignorable character stays in its state at no cost. Each unit of any other
+    character moves at no cost along the edges of its look-alike class; a substitution, an
+    insertion and a deletion cost 1 each. Accents are put in canonical order on the way."""
 
     def __init__(self, names: list[tuple[int, str]]):
         self.children: list[dict[str, int]] = [{}]
+        self.alike: list[dict[str, list[int]]] = [{}]  # child nodes by look-alike class
         self.ends: dict[int, list[tuple[int, str]]] = {}
         for key, name in names:
             at = 0
-            for u in classes(name):
+            for u in units(name):
                 nxt = self.children[at].get(u)
                 if nxt is None:
                     nxt = self.children[at][u] = len(self.children)
+                    self.alike[at].setdefault(_CLASS.get(u, u), []).append(nxt)
                     self.children.append({})
+                    self.alike.append({})
                 at = nxt
             self.ends.setdefault(at, []).append((key, name))
 
     def search(self, label: str, max_cost: int = 0) -> list[tuple[int, int, str]]:
         """[(cost, key, name)] of all names within ``max_cost`` of the label, cheapest first."""
-        if not max_cost:  # one state: the automaton is deterministic
-            at: int | None = 0
-            for ch in units(label):
-                at = self.children[at].get(_CLASS.get(ch, ch))
-                if at is None:
+        states, accents = self._without({0: 0}, max_cost), ""
+        for ch in label:
+            for u in _units_of(ch):  # none for an ignorable one
+                if unicodedata.combining(u):
+                    accents += u
+                    continue
+                if accents:
+                    states, accents = self._read(states, accents, max_cost), ""
+                states = self._step(states, u, max_cost)
+                if not states:
                     return []
-            return [(0, k, n) for k, n in self.ends.get(at, ())]
-        frontier = self._delete({0: 0}, max_cost)
-        for ch in units(label):
-            unit, nxt = _CLASS.get(ch, ch), {}
-            for node, cost in frontier.items():
-                for edge, child in self.children[node].items():
-                    c = cost + (edge != unit)
-                    if c <= max_cost and c < nxt.get(child, max_cost + 1):
-                        nxt[child] = c
-                if cost + 1 < nxt.get(node, max_cost + 1):
-                    nxt[node] = cost + 1
-            frontier = self._delete(nxt, max_cost)
-        return sorted((c, k, n) for node, c in frontier.items() for k, n in self.ends.get(node, ()))
-
-    def _delete(self, frontier: dict[int, int], max_cost: int) -> dict[int, int]:
-        todo = list(frontier)
+        states = self._read(states, accents, max_cost)
+        return sorted((c, k, n) for node, c in states.items() for k, n in self.ends.get(node, ()))
+
+    def _read(self, states: dict[int, int], accents: str, max_cost: int) -> dict[int, int]:
+        for u in sorted(accents, key=unicodedata.combining):
+            states = self._step(states, u, max_cost)
+        return states
+
+    def _step(self, states: dict[int, int], unit: str, max_cost: int) -> dict[int, int]:
+        nxt: dict[int, int] = {}
+        kind = _CLASS.get(unit, unit)
+        for node, cost in states.items():
+            for child in self.alike[node].get(kind, ()):
+                if cost < nxt.get(child, max_cost + 1):
+                    nxt[child] = cost
+            if cost < max_cost:
+                for to in (node, *self.children[node].values()):
+                    if cost + 1 < nxt.get(to, max_cost + 1):
+                        nxt[to] = cost + 1
+        return self._without(nxt, max_cost)
+
+    def _without(self, states: dict[int, int], max_cost: int) -> dict[int, int]:
+        """States with those that leave out units of a name added."""
+        todo = [n for n, c in states.items() if c < max_cost]
         while todo:
             node = todo.pop()
-            c = frontier[node] + 1
+            c = states[node] + 1
             for child in self.children[node].values():
-                if c <= max_cost and c < frontier.get(child, max_cost + 1):
-                    frontier[child] = c
+                if c <= max_cost and c < states.get(child, max_cost + 1):
+                    states[child] = c
                     todo.append(child)
-        return frontier
+        return states
 
 
 _TOKEN = re.compile(r"(\W+)")
@@ -151,17 +175,15 @@ def spell(label: str) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def _vocabulary(symbols: DataFrame, max_vocabulary: int) -> list[tuple[int, str]] | None:
-    """The names, or None if there are more than may be sent to every executor."""
-    rows = symbols.where("display_name IS NOT NULL").select("symbol_id", "display_name").limit(max_vocabulary + 1).collect()
-    return None if len(rows) > max_vocabulary else [(r[0], r[1]) for r in rows]
+#: Units of a name or label by which both are sent to the same trie of a large vocabulary.
+_ROUTE = 6
 
 
-def _per_batch(trie_names, key: str, emit, schema: pa.Schema):
-    """mapInArrow function: builds the trie once per task, remembers repeated labels."""
+def _emitter(key: str, emit, schema: pa.Schema):
+    """Function of (trie, batches of key and label): remembers repeated labels."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, memo = Trie(trie_names.value), {}
+    def run(trie: Trie, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
             for k, label in zip(batch.column(key).to_pylist(), batch.column("label").to_pylist()):
@@ -179,48 +201,56 @@ def _per_batch(trie_names, key: str, emit, schema: pa.Schema):
     return run
 
 
-@F.pandas_udf(StringType())
-def _classes_udf(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else classes(x))
+def _searched(nodes: DataFrame, symbols: DataFrame, key: str, emit, schema: pa.Schema, ddl: str, names_per_trie: int, labels_per_task: int) -> DataFrame:
+    """Runs ``emit`` over all labels with the tries of all names.
+
+    Up to ``names_per_trie`` names (checked) are one trie on every executor. More are split by
+    the class of their first units into tries of about that size, and labels go to the trie of
+    their own first units: at no cost the automaton can't reach a name of another. A trie that
+    gets more than ``labels_per_task`` labels is repeated for several parts of them."""
+    spark, rows = nodes.sparkSession, nodes.select(key, F.col("label"))
+    names, run = symbols.where("display_name IS NOT NULL").select("symbol_id", "display_name"), _emitter(key, emit, schema)
+    few = names.limit(names_per_trie + 1).collect()
+    if len(few) <= names_per_trie:
+        sent = spark.sparkContext.broadcast([tuple(r) for r in few])
+        return rows.mapInArrow(lambda batches: run(Trie(sent.value), batches), ddl)
+    tries = -(-names.count() // names_per_trie)
+
+    @F.pandas_udf("int")
+    def route(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: crc32(classes(x)[:_ROUTE].encode("utf-8", "surrogatepass")) % tries if isinstance(x, str) else 0)
 
+    rows, names = rows.withColumn("_t", route("label")), names.withColumn("_t", route("display_name"))
+    parts = [(r["_t"], -(-r["n"] // labels_per_task)) for r in rows.groupBy("_t").agg(F.count("*").alias("n")).collect()]  # a row per trie
+    table = spark.createDataFrame(parts, "_t int, _n int")
+    rows = rows.join(F.broadcast(table), "_t").withColumn("_p", F.pmod(F.xxhash64(key), F.col("_n")).cast("int")).select("_t", "_p", key, "label")
+    names = names.join(F.broadcast(table), "_t").withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("_t", "_p", "symbol_id", "display_name")
 
-@F.pandas_udf(StringType())
-def _spell_udf(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else spell(x))
+    def both(labels: pa.Table, mine: pa.Table) -> pa.Table:
+        trie = Trie(list(zip(mine.column("symbol_id").to_pylist(), mine.column("display_name").to_pylist())))
+        return pa.Table.from_batches(run(trie, labels.select([key, "label"]).to_batches()), schema)
 
+    return rows.groupBy("_t", "_p").cogroup(names.groupBy("_t", "_p")).applyInArrow(both, ddl)
 
-def same_reading(nodes: DataFrame, symbols: DataFrame, key: str = "node_seq", max_vocabulary: int = 200_000) -> DataFrame:
+
+def same_reading(nodes: DataFrame, symbols: DataFrame, key: str = "node_seq", names_per_trie: int = 200_000, labels_per_task: int = 1_000_000) -> DataFrame:
     """(key, symbol_id): rows whose label reads the same as a symbol's name without being it.
 
     One row per (node row, symbol). Null labels and null names match nothing; a label of
-    invisible characters only reads as ''. The vocabulary goes to the executors if it has at most
-    ``max_vocabulary`` names (checked); a larger one is joined on the unit classes instead.
-    """
-    spark, rows = nodes.sparkSession, nodes.select(key, F.col("label"))
-    names = _vocabulary(symbols, max_vocabulary)
-    if names is None:
-        left = rows.where("label IS NOT NULL").withColumn("_c", _classes_udf("label"))
-        right = symbols.where("display_name IS NOT NULL").select("symbol_id", "display_name", _classes_udf("display_name").alias("_c"))
-        return left.join(right, "_c").where("label <> display_name").select(key, "symbol_id")
+    invisible characters only reads as ''."""
 
     def emit(trie: Trie, label: str | None):
         return [] if label is None else [(k,) for _, k, name in trie.search(label) if name != label]
 
     schema = pa.schema([(key, pa.int64()), ("symbol_id", pa.int64())])
-    return rows.mapInArrow(_per_batch(spark.sparkContext.broadcast(names), key, emit, schema), f"{key} long, symbol_id long")
+    return _searched(nodes, symbols, key, emit, schema, f"{key} long, symbol_id long", names_per_trie, labels_per_task)
 
 
-def canonical_labels(nodes: DataFrame, symbols: DataFrame, key: str = "node_seq", max_vocabulary: int = 200_000) -> DataFrame:
+def canonical_labels(nodes: DataFrame, symbols: DataFrame, key: str = "node_seq", names_per_trie: int = 200_000, labels_per_task: int = 1_000_000) -> DataFrame:
     """(key, canonical, matched): every row's label in one consistent form.
 
     The smallest name (by id) that reads the same, else the label respelled by table; null stays
     null. Labels that read the same come out equal."""
-    spark, rows = nodes.sparkSession, nodes.select(key, F.col("label"))
-    names = _vocabulary(symbols, max_vocabulary)
-    if names is None:
-        right = symbols.where("display_name IS NOT NULL").groupBy(_classes_udf("display_name").alias("_c")).agg(F.min_by("display_name", "symbol_id").alias("_n"))
-        out = rows.withColumn("_c", _classes_udf("label")).join(right, "_c", "left")
-        return out.select(key, F.coalesce("_n", _spell_udf("label")).alias("canonical"), F.col("_n").isNotNull().alias("matched"))
 
     def emit(trie: Trie, label: str | None):
         if label is None:
@@ -229,4 +259,4 @@ def canonical_labels(nodes: DataFrame, symbols: DataFrame, key: str = "node_seq"
         return [(min(found, key=lambda x: x[1])[2], True)] if found else [(spell(label), False)]
 
     schema = pa.schema([(key, pa.int64()), ("canonical", pa.string()), ("matched", pa.bool_())])
-    return rows.mapInArrow(_per_batch(spark.sparkContext.broadcast(names), key, emit, schema), f"{key} long, canonical string, matched boolean")
+    return _searched(nodes, symbols, key, emit, schema, f"{key} long, canonical string, matched boolean", names_per_trie, labels_per_task)

@@ -51,7 +51,7 @@ def test_found_equals_brute_force_on_the_small_tables(spark, sf):
     names = [(r.symbol_id, r.display_name, la.classes(r.display_name)) for r in symbols.collect()]
     want = {(n.node_seq, k) for n in nodes.collect() if n.label for k, name, c in names if name != n.label and la.classes(n.label) == c}
     assert got == want
-    joined = {tuple(r) for r in la.same_reading(nodes, symbols, max_vocabulary=10).collect()}
+    joined = {tuple(r) for r in la.same_reading(nodes, symbols, names_per_trie=10, labels_per_task=20).collect()}
     assert joined == want
 
 
@@ -71,6 +71,29 @@ def test_unmatched_labels_get_one_spelling():
     assert la.spell("Rаven") == "Raven" and la.spell(wide("ab c")) == "ab c"
 
 
+def test_rows_come_through_the_automaton(spark, monkeypatch):
+    """With no free edges in the automaton only exact spellings (and ignorables) are reached."""
+    trie = la.Trie([(1, "abc"), (2, "аbс"), (3, "xyz")])  # 2 has Cyrillic letters: a path of its own
+    assert [k for _, k, _ in trie.search("abс")] == [1, 2] and len(trie.children) > 7
+    monkeypatch.setattr(la, "_CLASS", {})
+    strict = la.Trie([(1, "abc"), (2, "аbс")])
+    assert [k for _, k, _ in strict.search("ab\u200bc")] == [1] and strict.search("abс") == []
+    assert [(c, k) for c, k, _ in strict.search("abс", 1)] == [(1, 1), (1, 2)]
+
+
+def test_canonical_is_the_same_with_many_tries(spark, sf):
+    from nodeloom.session import table
+
+    nodes, symbols = table(spark, sf, "graph_nodes"), table(spark, sf, "symbols")
+    rows = [sorted(map(tuple, la.canonical_labels(nodes, symbols, **k).collect())) for k in ({}, {"names_per_trie": 100, "labels_per_task": 30})]
+    assert rows[0] == rows[1] and len(rows[0]) == nodes.count()
+
+
+def test_accents_in_any_order():
+    trie = la.Trie([(1, "a\u0323\u0301b")])
+    assert trie.search("a\u0301\u0323b") and trie.search("\u1ea1\u0301b") and not trie.search("a\u0301b\u0323")
+
+
 def test_weighted_edits():
     trie = la.Trie([(1, "abc"), (2, "abd"), (3, "xyz")])
     assert [x[:2] for x in trie.search("аbс", 1)] == [(0, 1), (1, 2)]
