@@ -1,11 +1,13 @@
 """Records that differ only in whitespace, letter case, punctuation or field order.
 
-Dictionary encoding: within each Arrow batch a column is dictionary-encoded, each distinct value
-is brought to canonical form once and given an integer identifier, and the rows are rewritten
-through the dictionary's indices. Identifiers are two 64-bit integers derived from field name and
-canonical value, so the dictionaries of all batches agree without being gathered or joined. A
-record is the tuple of its identifiers sorted by field name, packed into 128 bits; rows with equal
-tuples hold the same record. Only (table, tuple, key) is written and shuffled.
+Dictionary encoding. Each task brings every distinct value of a column to canonical form once and
+gives it an integer identifier; the rows are rewritten as tuples of identifiers, sorted by field
+name. Beside the tuples a task puts out its dictionary: (field, canonical value, identifier). An
+identifier is proposed by a 63-bit hash of field and canonical value, so that tasks agree without
+a join of the rows with dictionaries as large as the table; :func:`dictionary` then proves over
+all values that no two of them share one. Values that do are numbered -1, -2, ... instead and the
+rows are rewritten, so equal tuples are equal records, without exception. Only (table, tuple, key)
+is shuffled for the grouping.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ RECORDS = {
     "graph_edges": ("edge_seq", ["source", "target", "relation", "confidence", "confidence_score", "context", "source_file", "weight"]),
     "fragments": ("fragment_id", "payload"),
 }
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+CODED = "t byte, k long, ids array<long>, f string, c string, id long"
+_SCHEMA = pa.schema([("t", pa.int8()), ("k", pa.int64()), ("ids", pa.list_(pa.int64())), ("f", pa.string()), ("c", pa.string()), ("id", pa.int64())])
+Assigned = dict[tuple[str, str], int]
 
 
 def canonical_text(value: str) -> str:
@@ -66,56 +70,69 @@ def _plain(number: Decimal) -> str:
     return f"{'-' * sign}{kept}e{exponent + len(text) - len(kept)}"
 
 
-def identifier(field: str, value) -> tuple[int, int]:
-    h = blake2b(f"{len(field)}:{field}{canonical(value)}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    return int.from_bytes(h[:8], "little"), int.from_bytes(h[8:], "little")
+def proposed(field: str, value: str) -> int:
+    """Identifier of a canonical value, from 0 up."""
+    h = blake2b(f"{len(field)}:{field}{value}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(h, "little") >> 1
 
 
-def _mix(h: np.ndarray, ids: np.ndarray, m: np.uint64) -> np.ndarray:
-    h = (h ^ ids) * m
-    return h ^ (h >> np.uint64(29))
+class _Dictionary:
+    """A task's dictionary: identifiers by field and value; ``new`` has the entries not yet put out."""
 
+    def __init__(self, assigned: Assigned, bound: int = 1 << 17):
+        self.assigned, self.bound = assigned, bound
+        self.values: dict[str, dict] = {}
+        self.known: dict[str, dict[str, int]] = {}
+        self.new: list[tuple[str, str, int]] = []
 
-def pack(columns: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Tuples of identifiers, given by columns in field order, packed into two integers."""
-    a = np.full(len(columns[0][0]), len(columns), np.uint64)
-    b = a.copy()
-    for ia, ib in columns:
-        a, b = _mix(a, ia, _M1), _mix(b, ib, _M2)
-        a, b = _mix(a, ib, _M2), _mix(b, ia, _M1)
-    return a, b
-
-
-class _Memo(dict):
-    """Identifiers of values met before in this task; emptied when full."""
-
-    def __init__(self, of, bound: int = 1 << 17):
-        self.of, self.bound = of, bound
+    def id(self, field: str, value) -> int:
+        """Identifier of a value; a str, number or None met before is not looked at again."""
+        if isinstance(value, (dict, list, bool)):  # not hashable, or equal to a number
+            return self._entry(field, canonical(value))
+        kept = self.values.setdefault(field, {})
+        got = kept.get(value)
+        if got is None:
+            if len(kept) >= self.bound:
+                kept.clear()
+            got = kept[value] = self._entry(field, canonical(value))
+        return got
 
-    def __missing__(self, value):
-        if len(self) >= self.bound:
-            self.clear()
-        got = self[value] = self.of(value)
+    def _entry(self, field: str, form: str) -> int:
+        known = self.known.setdefault(field, {})
+        got = known.get(form)
+        if got is None:
+            if len(known) >= self.bound:
+                known.clear()
+            got = self.assigned.get((field, form)) if self.assigned else None
+            got = known[form] = proposed(field, form) if got is None else got
+            self.new.append((field, form, got))
         return got
 
+    def batch(self) -> pa.RecordBatch:
+        f, c, ids = zip(*self.new) if self.new else ((), (), ())
+        n, self.new = len(f), []
+        return pa.RecordBatch.from_arrays([pa.nulls(n, _SCHEMA[i].type) for i in range(3)] + [pa.array(f, pa.string()), pa.array(c, pa.string()), pa.array(ids, pa.int64())], schema=_SCHEMA)
+
 
 def _distinct(column: pa.Array) -> tuple[list, np.ndarray]:
-    """Dictionary of a column, a null last, and each row's index into it."""
+    """Dictionary of a column, a null (if any) last, and each row's index into it."""
     encoded = column.dictionary_encode()
     values = encoded.dictionary.to_pylist()
-    return [*values, None], encoded.indices.fill_null(len(values)).to_numpy(zero_copy_only=False)
+    return [*values, *[None] * bool(column.null_count)], encoded.indices.fill_null(len(values)).to_numpy(zero_copy_only=False)
 
 
-def _columns(table: int, key: str, fields: list[str]):
+def _columns(table: int, key: str, fields: list[str], assigned):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos = {f: _Memo(lambda v, f=f: identifier(f, v)) for f in fields}
+        entries = _Dictionary(assigned.value)
         for batch in batches:
-            ids = []
+            columns = []
             for f in sorted(fields):
                 values, index = _distinct(batch.column(f))
-                pair = np.array([memos[f][v] for v in values], np.uint64)
-                ids.append((pair[index, 0], pair[index, 1]))
-            yield _encoded(table, *pack(ids), batch.column(key))
+                columns.append(np.array([entries.id(f, v) for v in values], np.int64)[index])
+            flat = np.stack(columns, 1).reshape(-1)
+            offsets = np.arange(0, len(flat) + 1, len(fields), dtype=np.int32)
+            yield _coded(table, batch.column(key), flat, offsets)
+            yield entries.batch()
 
     return run
 
@@ -133,50 +150,74 @@ def read_record(payload: str | None) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
-def _payloads(table: int, key: str, column: str):
+def _payloads(table: int, key: str, column: str, assigned):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos: dict[str, _Memo] = _Memo(lambda f: _Memo(lambda v: identifier(f, v)), 1 << 10)
+        entries = _Dictionary(assigned.value)
 
-        def tuple_of(payload: str | None) -> tuple[int, int, bool]:
+        def tuple_of(payload: str | None) -> list[int] | None:
             record = read_record(payload)
-            if record is None:
-                return 0, 0, False
-            ids = []
-            for f in sorted(record):
-                v = record[f]
-                try:
-                    ids.append(memos[f][v] if isinstance(v, str) else identifier(f, v))
-                except (ValueError, ArithmeticError, RecursionError):  # e.g. a number of millions of digits
-                    return 0, 0, False
-            a, b = pack([(np.array([x], np.uint64), np.array([y], np.uint64)) for x, y in ids] or [(np.zeros(1, np.uint64),) * 2])
-            return int(a[0]), int(b[0]), True
+            try:
+                return None if record is None else [entries.id(f, record[f]) for f in sorted(record)]
+            except (ValueError, ArithmeticError, RecursionError):  # e.g. a number of millions of digits
+                return None
 
         for batch in batches:
             values, index = _distinct(batch.column(column))
             got = [tuple_of(v) for v in values]
-            pair, there = np.array([g[:2] for g in got], np.uint64), np.array([g[2] for g in got])[index]
-            rows = pair[index]
-            yield _encoded(table, rows[there, 0], rows[there, 1], batch.column(key).filter(pa.array(there)))
+            there = np.array([g is not None for g in got])[index]
+            rows = [got[i] for i in index[there]]
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+            yield _coded(table, batch.column(key).filter(pa.array(there)), np.array([x for r in rows for x in r], np.int64), offsets)
+            yield entries.batch()
 
     return run
 
 
-def _encoded(table: int, a: np.ndarray, b: np.ndarray, keys: pa.Array) -> pa.RecordBatch:
-    arrays = [pa.array(np.full(len(a), table, np.int8)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), keys.cast(pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, ["t", "a", "b", "k"])
+def _coded(table: int, keys: pa.Array, flat: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    ids, n = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())), len(keys)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, table, np.int8)), keys.cast(pa.int64()), ids, *[pa.nulls(n, _SCHEMA[i].type) for i in (3, 4, 5)]], schema=_SCHEMA)
 
 
-def encode_records(tables: dict[str, DataFrame], records: dict | None = None) -> DataFrame:
-    """(t, a, b, k): one row per readable record; t is the table's position in ``records``."""
-    records = records or RECORDS
-    parts = []
+def _rewritten(tables: dict[str, DataFrame], records: dict, assigned: Assigned) -> DataFrame:
+    """Tuples of all records (t, k, ids; f is null) and the tasks' dictionaries (f, c, id; k is
+    null), written in one pass over the tables."""
+    parts, sent = [], None
     for i, (name, (key, compared)) in enumerate(records.items()):
         if name not in tables:
             continue
+        sent = sent or tables[name].sparkSession.sparkContext.broadcast(assigned)
         fields = [compared] if isinstance(compared, str) else compared
-        run = _payloads(i, key, compared) if isinstance(compared, str) else _columns(i, key, fields)
-        parts.append(spread(tables[name].select(key, *fields)).mapInArrow(run, "t byte, a long, b long, k long"))
-    return reduce(DataFrame.union, parts)
+        run = _payloads(i, key, compared, sent) if isinstance(compared, str) else _columns(i, key, fields, sent)
+        parts.append(spread(tables[name].select(key, *fields)).mapInArrow(run, CODED))
+    return materialize(reduce(DataFrame.union, parts), "records")
+
+
+def dictionary(coded: DataFrame) -> DataFrame:
+    """(field, canonical, id): the dictionaries of all tasks as one."""
+    return coded.where("f IS NOT NULL").select(F.col("f").alias("field"), F.col("c").alias("canonical"), "id").distinct()
+
+
+def clashes(coded: DataFrame, most: int = 1_000_000) -> Assigned:
+    """Own identifiers for the values whose proposed one belongs to another value as well.
+
+    Among n values of all columns n * n / 2 ** 64 are to be expected: none up to billions of
+    values. More than ``most`` mean that the hash is broken and are refused."""
+    entries = coded.where("f IS NOT NULL").select("id", F.struct("f", "c").alias("v"))
+    shared = entries.groupBy("id").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("id")
+    rows = dictionary(coded).join(shared, "id").select("field", "canonical").limit(most + 1).collect()
+    if len(rows) > most:
+        raise RuntimeError(f"more than {most} values share identifiers")
+    return {v: -1 - i for i, v in enumerate(sorted(map(tuple, rows)))}
+
+
+def encode_records(tables: dict[str, DataFrame], records: dict | None = None) -> DataFrame:
+    """(t, k, ids): one row per readable record; t is the table's position in ``records``, ids
+    its tuple, equal for equal records of a table and for no others."""
+    records = records or RECORDS
+    coded = _rewritten(tables, records, {})
+    if assigned := clashes(coded):
+        coded = _rewritten(tables, records, assigned)
+    return coded.where("k IS NOT NULL").select("t", "k", "ids")
 
 
 def _name(records: dict):
@@ -192,16 +233,16 @@ def found_copies(tables: dict[str, DataFrame], records: dict | None = None) -> D
     their first key from a pre-aggregated table repeated for each salt; all others are numbered
     in one window pass."""
     records = records or RECORDS
-    rows = materialize(encode_records(tables, records), "records")
-    salts, key = hot_buckets(rows, ["a", "b"]), ["t", "a", "b"]
+    rows = encode_records(tables, records)
+    salts, key = hot_buckets(rows, ["t", "ids"]), ["t", "ids"]
     cold, parts = rows, []
     if salts:
-        at = bucket("a", "b")
+        at = bucket("t", "ids")
         hot = F.array_contains(F.array(*[F.lit(b).cast("long") for b in salts]), at)
         cold, rows = rows.where(~hot), rows.where(hot)
         firsts = rows.groupBy(*key).agg(F.min("k").alias("first_key"), F.count("*").alias("n")).where("n > 1").drop("n")
-        firsts = with_salts(firsts, ["a", "b"], salts, None)
-        parts = [with_salts(rows, ["a", "b"], salts, ["k"]).join(firsts, [*key, "salt"]).select("t", "k", "first_key")]
+        firsts = with_salts(firsts, key, salts, None)
+        parts = [with_salts(rows, key, salts, ["k"]).join(firsts, [*key, "salt"]).select("t", "k", "first_key")]
     parts.append(cold.withColumn("first_key", F.min("k").over(Window.partitionBy(*key))).select("t", "k", "first_key"))
     return reduce(DataFrame.union, parts).where("k <> first_key").select(_name(records), "first_key", F.col("k").alias("copy_key"))
 
@@ -209,7 +250,5 @@ def found_copies(tables: dict[str, DataFrame], records: dict | None = None) -> D
 def collapsed(tables: dict[str, DataFrame], records: dict | None = None) -> DataFrame:
     """(table_name, first_key, copies): each record once, with the number of its rows."""
     records = records or RECORDS
-    groups = encode_records(tables, records).groupBy("t", "a", "b").agg(F.min("k").alias("first_key"), F.count("*").alias("copies"))
+    groups = encode_records(tables, records).groupBy("t", "ids").agg(F.min("k").alias("first_key"), F.count("*").alias("copies"))
     return groups.select(_name(records), "first_key", "copies")
-
-

@@ -82,6 +82,50 @@ def test_hot_records_give_the_same(spark, monkeypatch):
     assert {tuple(r) for r in copies.found_copies(frames(spark, t)).collect()} == brute(t)
 
 
+def test_values_that_share_an_identifier_are_told_apart(spark, monkeypatch):
+    """Identifiers decide: with all values proposed the same few ones the dictionary must renumber
+    them, and if it doesn't, the rows are wrong."""
+    t = tables(5)
+    # by value, so that the workers get it as well
+    code = copies._Dictionary._entry
+    def few(self, field, form):
+        got = self.assigned.get((field, form))
+        got = len(form) % 3 if got is None else got
+        self.new.append((field, form, got))
+        return got
+    for name in ("_columns", "_payloads"):
+        whole = getattr(copies, name)
+        monkeypatch.setattr(copies, name, lambda *a, whole=whole: _with_entry(whole(*a), few))
+    assert {tuple(r) for r in copies.found_copies(frames(spark, t)).collect()} == brute(t)
+    assert copies._Dictionary._entry is code
+    monkeypatch.setattr(copies, "clashes", lambda coded: {})
+    assert {tuple(r) for r in copies.found_copies(frames(spark, t)).collect()} != brute(t)
+
+
+def _with_entry(run, entry):
+    def patched(batches):
+        from nodeloom.llm import copies as there
+
+        kept, there._Dictionary._entry = there._Dictionary._entry, entry
+        try:
+            yield from run(batches)
+        finally:
+            there._Dictionary._entry = kept
+
+    return patched
+
+
+def test_dictionary(spark):
+    t = tables(6)
+    coded = copies._rewritten(frames(spark, t), copies.RECORDS, {})
+    words = [r for r in copies.dictionary(coded).collect()]
+    assert len({r.id for r in words}) == len({(r.field, r.canonical) for r in words}) == len(words)
+    assert {r.canonical for r in words if r.field == "weight"} == {"n1e0", "n1e-1"} and copies.clashes(coded) == {}
+    by_id = {r.id: r.field for r in words}
+    for r in coded.where("k IS NOT NULL").collect():
+        assert [by_id[i] for i in r.ids] == sorted(by_id[i] for i in r.ids)
+
+
 def test_collapsed_counts_every_row(spark):
     t = tables(3)
     f = frames(spark, t)
