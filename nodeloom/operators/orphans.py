@@ -2,21 +2,27 @@
 
 State, one row per key ``(k1, k2)`` (128 bits of the id in normal form): ``present``, the number
 of parent rows there now; ``refs``, the number of references seen per endpoint. From them follows
-what waits: all references of a key whose ``present`` is 0 are pending orphans.
+what waits: all references of a key whose ``present`` is 0 are pending orphans; :func:`waiting`
+lists them from the log of references.
 
 :func:`advance` folds one batch of events into the state in time order. A new reference probes
 ``present``: at 0 it is an orphan and starts to wait. An arriving parent that takes ``present``
 from 0 resolves all that waits under the key, a removal that takes it to 0 reopens all references
-of the key. Only counts are kept, so a key with a third of all references costs one row of state.
+of the key. Only counts are kept as state, so a key with a third of all references costs one row.
 
-The fold is a running sum over (key, salt) sorted by time: one shuffle of the narrow events, no
-join. Hot keys are found through counts of hash buckets (bounded) and their references are salted;
-the parents' events of those buckets, pre-aggregated by key and time, are repeated for each salt.
+:func:`fold_history` goes through whole tables step by step: references and parents' events are
+keyed once and written by month; each step reads its months and the state that the step before
+has written, probes and updates it, and writes what was found and the new state. A step is a run
+of months with an eighth of all events at least, so that the state is read and written a bounded
+number of times; the monthly counts come out of the steps.
+
+The fold of a step is a running sum over (key, salt) sorted by time: one shuffle of the narrow
+events, no join. Hot keys are found through counts of hash buckets (bounded) and their references
+are salted; the parents' events of those buckets are repeated for each salt.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions.ids import normalize_id
-from nodeloom.session import hot_buckets, spread, with_salts
+from nodeloom.session import hot_buckets, materialize, spread, with_salts
 
 STATE = "k1 long, k2 long, present long, n_source long, n_target long"
 _ENDPOINTS = ("source", "target")
@@ -56,56 +62,71 @@ def parent_events(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("k1", "k2", "t").agg(F.sum("d").alias("d"))
 
 
+def _endpoint() -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in _ENDPOINTS]), F.col("e").cast("int") + 1).alias("endpoint")
+
+
+def _monthly(events: DataFrame, table_name: str, months: list[str] = []) -> DataFrame:
+    """Counts per endpoint and month, those of ``months`` in any case; ``pending`` runs on from
+    what was carried over."""
+    month, parts = F.date_format("t", "yyyy-MM"), []
+    for i, name in enumerate(_ENDPOINTS):
+        seen = F.col(f"n_{name}")
+        parts.append(
+            F.struct(
+                F.lit(name).alias("endpoint"),
+                F.when((F.col("kind") == 2) & (F.col("e") == i) & (F.col("present") == 0), 1).otherwise(0).alias("new"),
+                F.when((F.col("kind") == 1) & (F.col("before") == 0) & (F.col("present") > 0), seen).otherwise(0).alias("resolved"),
+                F.when((F.col("kind") == 1) & (F.col("before") > 0) & (F.col("present") == 0), seen).otherwise(0).alias("reopened"),
+                F.when((F.col("kind") == 0) & (F.col("present") == 0), seen).otherwise(0).alias("carried"),
+            )
+        )
+    rows = events.select(month.alias("period"), F.explode(F.array(*parts)).alias("x")).groupBy("x.endpoint", "period")
+    rows = rows.agg(*[F.sum(f"x.{c}").cast("long").alias(c) for c in ("new", "resolved", "reopened", "carried")])
+    if months:
+        every = [(x, m, 0, 0, 0, 0) for x in _ENDPOINTS for m in months]
+        rows = rows.union(events.sparkSession.createDataFrame(every, rows.schema)).groupBy("endpoint", "period").agg(*[F.sum(c).alias(c) for c in ("new", "resolved", "reopened", "carried")])
+    run = Window.partitionBy("endpoint").orderBy(F.col("period").asc_nulls_first())  # one row per month
+    rows = rows.withColumn("pending", F.sum(F.col("carried") + F.col("new") - F.col("resolved") + F.col("reopened")).over(run))
+    return rows.where("period IS NOT NULL").select(F.lit(table_name).alias("table_name"), "endpoint", "period", F.col("new").alias("new_orphans"), "resolved", "reopened", "pending")
+
+
 @dataclass
 class Folded:
-    """``events``: all events of the batch with what they found; ``salts``: hot buckets used."""
+    """A folded batch. ``rows``: orphans found, parents' events that resolved or reopened
+    references, what waited before, and the last event of each key (``last``)."""
 
-    events: DataFrame
+    rows: DataFrame
     salts: dict[int, int]
 
+    def stored(self, name: str = "fold") -> Folded:
+        """Written to the shared folder: for several uses, and to cut the lineage."""
+        return Folded(materialize(self.rows, name), self.salts)
+
     def found(self) -> DataFrame:
         """(edge_seq, endpoint) of references that were orphans when they arrived."""
-        name = F.element_at(F.array(*[F.lit(x) for x in _ENDPOINTS]), F.col("e").cast("int") + 1)
-        return self.events.where("kind = 2 AND present = 0").select("edge_seq", name.alias("endpoint"))
+        return self.rows.where("kind = 2 AND present = 0").select("edge_seq", _endpoint())
 
     def changes(self, table_name: str = "graph_edges") -> DataFrame:
         """(table_name, endpoint, period, new_orphans, resolved, reopened, pending): per month of
         the events, with the number pending at the end of each. References are resolved or
         reopened in the month in which their parent arrives or goes."""
-        month = F.date_format("t", "yyyy-MM")
-        parts = []
-        for i, name in enumerate(_ENDPOINTS):
-            seen = F.col(f"n_{name}")
-            parts.append(
-                F.struct(
-                    F.lit(name).alias("endpoint"),
-                    F.when((F.col("kind") == 2) & (F.col("e") == i) & (F.col("present") == 0), 1).otherwise(0).alias("new"),
-                    F.when((F.col("kind") == 1) & (F.col("before") == 0) & (F.col("present") > 0), seen).otherwise(0).alias("resolved"),
-                    F.when((F.col("kind") == 1) & (F.col("before") > 0) & (F.col("present") == 0), seen).otherwise(0).alias("reopened"),
-                    F.when((F.col("kind") == 0) & (F.col("present") == 0), seen).otherwise(0).alias("carried"),
-                )
-            )
-        rows = self.events.select(month.alias("period"), F.explode(F.array(*parts)).alias("x")).groupBy("x.endpoint", "period")
-        rows = rows.agg(*[F.sum(f"x.{c}").cast("long").alias(c) for c in ("new", "resolved", "reopened", "carried")])
-        rows = rows.where("new + resolved + reopened + carried > 0 OR period IS NOT NULL")
-        run = Window.partitionBy("endpoint").orderBy(F.col("period").asc_nulls_first())  # one row per month
-        rows = rows.withColumn("pending", F.sum(F.col("carried") + F.col("new") - F.col("resolved") + F.col("reopened")).over(run))
-        return rows.where("period IS NOT NULL").select(F.lit(table_name).alias("table_name"), "endpoint", "period", F.col("new").alias("new_orphans"), "resolved", "reopened", "pending")
+        return _monthly(self.rows, table_name)
 
     def state(self) -> DataFrame:
         """The state after the batch. Salted parts of a key are added up: parents' counts are the
         same in each salt, references are counted in one."""
-        by_salt = self.events.groupBy("k1", "k2", "salt").agg(
-            F.sum("d").alias("present"), *[F.sum(F.when((F.col("kind") == 2) & (F.col("e") == i), 1).when((F.col("kind") == 0), F.col(f"o_{n}")).otherwise(0)).alias(f"n_{n}") for i, n in enumerate(_ENDPOINTS)]
-        )
-        return by_salt.groupBy("k1", "k2").agg(F.max("present").alias("present"), F.sum("n_source").alias("n_source"), F.sum("n_target").alias("n_target"))
+        last = self.rows.where("last").select("k1", "k2", "present", "n_source", "n_target")
+        if not self.salts:
+            return last
+        return last.groupBy("k1", "k2").agg(F.max("present").alias("present"), F.sum("n_source").alias("n_source"), F.sum("n_target").alias("n_target"))
 
 
 def advance(state: DataFrame | None, refs: DataFrame, parents: DataFrame, salts: dict[int, int] | None = None) -> Folded:
     """Fold a batch of references and parent events into ``state`` (None: nothing yet).
 
     All events of the batch must be no earlier than those folded before. At equal times parents
-    come first. Hot keys are detected anew for each batch."""
+    come first. Without ``salts`` hot keys are looked for in the batch."""
     if salts is None:
         salts = hot_buckets(refs.select("k1", "k2"), ["k1", "k2"])
     zero = lambda kind: F.lit(kind).cast("tinyint").alias("kind")
@@ -124,25 +145,69 @@ def advance(state: DataFrame | None, refs: DataFrame, parents: DataFrame, salts:
             *[F.when(first, F.col(f"n_{n}")).otherwise(0).cast("long").alias(f"o_{n}") for n in _ENDPOINTS],
         )
         events = opening.unionByName(events)
-    run = Window.partitionBy("k1", "k2", "salt").orderBy(F.col("t").asc_nulls_first(), "kind", "edge_seq", "e").rowsBetween(Window.unboundedPreceding, 0)
+    by_time = Window.partitionBy("k1", "k2", "salt").orderBy(F.col("t").asc_nulls_first(), "kind", "edge_seq", "e")
+    run = by_time.rowsBetween(Window.unboundedPreceding, 0)
     counted = lambda i, n: F.sum(F.when(F.col("e") == i, 1).otherwise(0) + F.col(f"o_{n}")).over(run).alias(f"n_{n}")
-    events = events.select("*", F.sum("d").over(run).alias("present"), *[counted(i, n) for i, n in enumerate(_ENDPOINTS)])
-    return Folded(events.withColumn("before", F.col("present") - F.col("d")), salts)
-
-
-def periods(edges: DataFrame, nodes: DataFrame, cuts: list[str], keep) -> Iterator[Folded]:
-    """Fold in steps that end at each of ``cuts`` (ISO times) and at the end; ``keep(df)`` cuts
-    the lineage of the state between steps (``session.materialize``)."""
-    refs, parents, state = references(edges), parent_events(nodes), None
-    bounds: list[tuple[str | None, str | None]] = list(zip([None, *cuts], [*cuts, None]))
-    for low, high in bounds:
-        inside: list[Column] = [F.col("t") >= F.lit(low).cast("timestamp_ntz")] * bool(low) + [F.col("t") < F.lit(high).cast("timestamp_ntz")] * bool(high)
-        cut = lambda df: reduce(lambda a, c: a.where(c), inside, df)  # noqa: B023, E731
-        step = advance(state, cut(refs), cut(parents))
-        yield step
-        state = keep(step.state())
-
-
-def fold_tables(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> Folded:
-    """Both whole tables as one batch."""
-    return advance(None, references(edges), parent_events(nodes))
+    events = events.select("*", F.sum("d").over(run).alias("present"), *[counted(i, n) for i, n in enumerate(_ENDPOINTS)], F.lead("kind").over(by_time).isNull().alias("last"))
+    events = events.select("k1", "k2", "t", "kind", "edge_seq", "e", "present", (F.col("present") - F.col("d")).alias("before"), "n_source", "n_target", "last")
+    kept = "last OR (kind = 1 AND (before = 0) <> (present = 0)) OR (kind <> 1 AND present = 0)"
+    return Folded(events.where(kept), salts)
+
+
+@dataclass
+class History:
+    """Steps of a fold over whole tables, all stored, the log of references, the months."""
+
+    refs: DataFrame
+    steps: list[Folded]
+    months: list[str]
+
+    def found(self) -> DataFrame:
+        """(edge_seq, endpoint) of references that were orphans when they arrived."""
+        return reduce(DataFrame.unionByName, [s.found() for s in self.steps])
+
+    def changes(self, table_name: str = "graph_edges") -> DataFrame:
+        """Monthly counts over all steps, see :meth:`Folded.changes`."""
+        return _monthly(reduce(DataFrame.unionByName, [s.rows for s in self.steps]).where("kind > 0"), table_name, self.months)
+
+    def state(self) -> DataFrame:
+        return self.steps[-1].state()
+
+    def waiting(self) -> DataFrame:
+        return waiting(self.refs, self.state(), self.steps[-1].salts)
+
+
+def waiting(refs: DataFrame, state: DataFrame, salts: dict[int, int]) -> DataFrame:
+    """(edge_seq, endpoint, since) of all references whose key has no parent row in ``state``."""
+    missing = with_salts(state.where("present = 0").select("k1", "k2"), ["k1", "k2"], salts, None)
+    rows = with_salts(refs, ["k1", "k2"], salts, ["edge_seq", "e"])
+    return rows.join(missing, ["k1", "k2", "salt"], "left_semi").select("edge_seq", _endpoint(), F.col("t").alias("since"))
+
+
+def _spans(counts: list[tuple[str, int]], share: float) -> list[tuple[str, str]]:
+    """Runs of consecutive periods with at least ``share`` of all events each."""
+    total, out, low, n = sum(c for _, c in counts), [], None, 0
+    for period, c in sorted(counts):
+        low, n = low or period, n + c
+        if n >= share * total:
+            out.append((low, period))
+            low, n = None, 0
+    return [*out, (low, max(p for p, _ in counts))] if low else out
+
+
+def fold_history(edges: DataFrame, nodes: DataFrame, share: float = 0.125, salts: dict[int, int] | None = None) -> History:
+    """Fold both whole tables through the stored state, at most ``1 / share`` + 1 steps.
+
+    Empty tables fold in one step of nothing."""
+    keep = lambda df, name: materialize(df.withColumn("period", F.date_format("t", "yyyy-MM")), name, ["period"])
+    refs, parents = keep(references(edges), "references"), keep(parent_events(nodes), "parents")
+    counts = refs.select("period").union(parents.select("period")).groupBy("period").count().collect()  # a row per month
+    if salts is None:
+        salts = hot_buckets(refs, ["k1", "k2"])
+    spans = _spans([tuple(r) for r in counts], share) or [("", "")]
+    state, steps = None, []
+    for low, high in spans:
+        cut = lambda df: df.where(F.col("period").between(low, high)).drop("period")  # noqa: B023, E731
+        steps.append(advance(state, cut(refs), cut(parents), salts).stored("fold"))
+        state = steps[-1].state()
+    return History(refs.drop("period"), steps, sorted(r["period"] for r in counts))

@@ -9,12 +9,13 @@ from nodeloom.session import table
 
 
 def _fold(spark, d):
-    return orphans.fold_tables(spark, table(spark, d, "graph_edges"), table(spark, d, "graph_nodes"))
+    return orphans.fold_history(table(spark, d, "graph_edges"), table(spark, d, "graph_nodes"))
 
 
 QUERIES = {
     "p3_found": lambda s, d: _fold(s, d).found(),
     "p3_report": lambda s, d: _fold(s, d).changes(),
+    "p3_waiting": lambda s, d: _fold(s, d).waiting(),
 }
 SQL = {
     "p3_found": f"""WITH refs AS (SELECT edge_seq, 'source' AS endpoint, {norm("source")} AS id, arrived_at FROM graph_edges UNION ALL SELECT edge_seq, 'target', {norm("target")}, arrived_at FROM graph_edges),
@@ -32,6 +33,8 @@ m AS (SELECT endpoint, period FROM (SELECT DISTINCT strftime(t, '%Y-%m') AS peri
 x AS (SELECT m.endpoint, m.period, coalesce(nw.k, 0) AS new_orphans, coalesce(u.k, 0) AS resolved, coalesce(w.k, 0) AS reopened FROM m LEFT JOIN nw ON nw.endpoint = m.endpoint AND nw.period = m.period
   LEFT JOIN ev u ON u.endpoint = m.endpoint AND u.period = m.period AND u.way = 'up' LEFT JOIN ev w ON w.endpoint = m.endpoint AND w.period = m.period AND w.way = 'down')
 SELECT 'graph_edges' AS table_name, *, (sum(new_orphans - resolved + reopened) OVER (PARTITION BY endpoint ORDER BY period))::BIGINT AS pending FROM x"""
+SQL["p3_waiting"] = f"""WITH refs AS (SELECT edge_seq, 'source' AS endpoint, {norm("source")} AS id, arrived_at AS since FROM graph_edges UNION ALL SELECT edge_seq, 'target', {norm("target")}, arrived_at FROM graph_edges)
+SELECT edge_seq, endpoint, since FROM refs r WHERE id <> '' AND NOT EXISTS (SELECT 1 FROM graph_nodes t WHERE {norm("t.id")} = r.id AND t.removed_at IS NULL)"""
 FLAGSHIP = "q17_query_graph"
 for _part in (build_queries, search_queries, analyze_queries, data_queries):
     QUERIES.update(_part.QUERIES)

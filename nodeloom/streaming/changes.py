@@ -60,6 +60,6 @@ class OrphanStream:
         events = rows.where("kind = 'parent'").select("id", "at", "d")
         refs = orphans.references(edges)
         parents = orphans._keyed(events.where("id <> ''"), "id").groupBy("k1", "k2", F.col("at").alias("t")).agg(F.sum("d").alias("d"))
-        fold = orphans.advance(self.state(spark, batch - 1), materialize(refs, "refs"), materialize(parents, "parents"))
+        fold = orphans.advance(self.state(spark, batch - 1), materialize(refs, "refs"), materialize(parents, "parents")).stored("step")
         fold.found().write.mode("overwrite").parquet(f"{self.folder}/found-{batch}")
         fold.state().write.mode("overwrite").parquet(f"{self.folder}/state-{batch}")

@@ -45,6 +45,37 @@ def test_ignore_patterns(spark):
     assert got == {"build/x.py", "src/a.log", "docs/reports/a.md"}
 
 
+def test_pattern_regex_by_globs():
+    from fnmatch import fnmatchcase
+    from random import Random
+
+    r = Random(3)
+    for _ in range(3000):
+        path = "/".join("".join(r.choice("ab.") for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 5)))
+        glob = "".join(r.choice(["a", "b", ".", "*", "?", "/", "[ab]", "[!a]", "**/"]) for _ in range(r.randrange(1, 5))).strip("/")
+        parts, found = path.split("/"), files.pattern_regex("", glob)
+        if not glob:
+            assert found is None
+            continue
+        leads = ["/".join(parts[:i]) for i in range(1, len(parts) + 1)]
+        assert bool(found.fullmatch(path)) == any(fnmatchcase(x, glob) for x in [*parts, *leads]), (glob, path)
+        assert bool(files.pattern_regex("a", "/" + glob).fullmatch(path)) == (path.startswith("a/") and fnmatchcase(path[2:], glob))
+
+
+def test_pattern_lines(spark):
+    text = "  a b  \r\n# c\nx\\#y #z\n\n#\n d\\  \n#!e\ne#f"
+    rows = files.pattern_lines(frame(spark, {"p/q/.ignore": text, "n": "x"}), ".ignore").orderBy("line_no").collect()
+    assert [(r.folder, r.pattern) for r in rows] == [("p/q", "a b"), ("p/q", "x#y"), ("p/q", "d\\ "), ("p/q", "e#f")]
+    with pytest.raises(ValueError):
+        files.collect_patterns(frame(spark, {"p/q/.ignore": text}), ".ignore", 3)
+
+
+def test_apm():
+    assert manifests.parse_apm("# x\nname: 'tool' # y\nversion: 1\ndependencies:\n- a/b\n- c: 1.0\n  d: 2\nother:\n  - z\n") == ("tool", ["a/b", "c"])
+    assert manifests.parse_apm('name: t\ndependencies:\n  "@s/x": ^1\n  y:\n    git: u\n') == ("t", ["@s/x", "y"])
+    assert manifests.parse_apm("- a\n") == (None, []) and manifests.parse_apm("") == (None, [])
+
+
 def test_slices_cover_the_text(spark):
     text = "# a\n\nline one\nline two\n\n## b\n" + "word " * 50 + "\n\nend"
     for most in (7, 20, 60, 1000):
@@ -201,5 +232,5 @@ def test_orphan_stream_equals_batch(spark, tmp_path, at):
         op(spark.createDataFrame(part, schema), b)  # run again after a failure
     found = {tuple(r) for b in range(3) for r in spark.read.parquet(f"{tmp_path}/found-{b}").collect()}
     assert found == brute(nodes, edges)
-    whole = orphans.fold_tables(spark, spark.createDataFrame(edges, EDGES), spark.createDataFrame(nodes, NODES))
+    whole = orphans.fold_history(spark.createDataFrame(edges, EDGES), spark.createDataFrame(nodes, NODES))
     assert sorted(map(tuple, whole.state().collect())) == sorted(map(tuple, op.state(spark, 2).collect()))
