@@ -203,9 +203,12 @@ def clashes(coded: DataFrame, most: int = 1_000_000) -> Assigned:
     Among n values of all columns n * n / 2 ** 64 are to be expected: none up to billions of
     values. More than ``most`` mean that the hash is broken and are refused."""
     entries = coded.where("f IS NOT NULL").select("id", F.struct("f", "c").alias("v"))
-    shared = entries.groupBy("id").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("id")
-    rows = dictionary(coded).join(shared, "id").select("field", "canonical").limit(most + 1).collect()
-    if len(rows) > most:
+    shared = entries.groupBy("id").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("id").limit(most + 1).collect()
+    if not shared:
+        return {}
+    ids = coded.sparkSession.createDataFrame(shared, "id long")
+    rows = dictionary(coded).join(F.broadcast(ids), "id").select("field", "canonical").limit(most + 1).collect()
+    if len(shared) > most or len(rows) > most:
         raise RuntimeError(f"more than {most} values share identifiers")
     return {v: -1 - i for i, v in enumerate(sorted(map(tuple, rows)))}
 
