@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,18 @@ _WORD = re.compile(f"[{_CJK}]|[^\\W\\d_{_CJK}]+")
 BUCKETS = 1 << 16
 #: Pseudo-count of each bucket in both multinomials.
 PRIOR = 1e-3
-_MULTIPLIER = 0x9E3779B97F4A7C15
+_MULTIPLIER, _APART = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+_ASCII_WORD, _LETTERS, _HIGH = re.compile("[a-z]+"), re.compile(r"[^\W\d_]+"), re.compile("[\u2e80-\U0010ffff]")
 
 
 def words(text: str) -> list[str]:
     """Words of a text: runs of letters, Chinese and Japanese characters one by one."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-    return _WORD.findall(text.casefold())
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower())
+    text = unicodedata.normalize("NFC", text).casefold()
+    return (_WORD if _HIGH.search(text) else _LETTERS).findall(text)
 
 
 class _Numbers(dict):
@@ -76,14 +81,31 @@ def gram_hashes(a: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def features(h: np.ndarray) -> np.ndarray:
-    """Bucket of each n-gram: below ``BUCKETS`` at its first occurrence in the text, else above."""
-    order = np.argsort(h, kind="stable")
+def features(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Bucket of each n-gram: below ``BUCKETS`` at its first occurrence in its text, else above."""
+    key = h ^ (doc.astype(np.uint64) * np.uint64(_APART))
+    order = np.argsort(key, kind="stable")
     again = np.zeros(len(h), np.int64)
-    again[order[1:]] = h[order][1:] == h[order][:-1]
+    again[order[1:]] = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     return (h % np.uint64(BUCKETS)).astype(np.int64) + BUCKETS * again
 
 
+def _parts(batches: Iterator[pa.RecordBatch], n: int, step: int = 512) -> Iterator[tuple[pa.RecordBatch, list[list[str]], np.ndarray, np.ndarray]]:
+    """(rows, their words, features of all their n-grams, row of each), some hundred texts at a time."""
+    numbers = _Numbers()
+    for batch in batches:
+        for i in range(0, batch.num_rows, step):
+            part = batch.slice(i, step)
+            texts = [words(t or "") for t in part.column(1).to_pylist()]
+            sizes = np.array([len(ws) for ws in texts])
+            flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.uint64, sizes.sum())
+            doc = np.repeat(np.arange(len(texts)), sizes)
+            h = gram_hashes(flat, n)
+            whole = doc[: len(h)] == doc[n - 1 :][: len(h)]
+            doc = doc[: len(h)][whole]
+            yield part, texts, features(h[whole], doc), doc
+
+
 def repeated_words(ws: list[str], n: int = 8) -> int:
     """How many words stand in runs of n or more words that occurred earlier in the text as well.
 
@@ -137,13 +159,11 @@ def count_features(docs: DataFrame, n: int = 8, key: str = "doc_id") -> Multinom
     driver is at most ``2 * BUCKETS`` rows whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, raw, target = _Numbers(), np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
-        for batch in batches:
-            for text in batch.column(1):
-                at = features(gram_hashes(np.array([numbers[w] for w in words(text.as_py() or "")], np.uint64), n))
-                np.add.at(raw, at, 1)
-                if len(at) and at.max() < BUCKETS:
-                    np.add.at(target, at, 1)
+        raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+        for part, _, at, doc in _parts(batches, n):
+            raw += np.bincount(at, minlength=len(raw))
+            trusted = np.bincount(doc, at >= BUCKETS, part.num_rows) == 0
+            target += np.bincount(at[trusted[doc]], minlength=len(target))
         there = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(raw[there]), pa.array(target[there])], ["bucket", "r", "t"])
 
@@ -168,20 +188,19 @@ def scored(docs: DataFrame, share: Fraction = Fraction(2, 5), n: int = 8, key: s
     low = limit + 1e-9 * (1 + abs(limit))  # sums of floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, ratios = _Numbers(), table.value
-        for batch in batches:
+        ratios = table.value
+        for part, texts, at, doc in _parts(batches, n):
+            sums, counts = np.bincount(doc, ratios[at], part.num_rows), np.bincount(doc, minlength=part.num_rows)
             rows = []
-            for text in batch.column(1):
-                ws = words(text.as_py() or "")
-                at = features(gram_hashes(np.array([numbers[w] for w in ws], np.uint64), n))
-                llr = float(ratios[at].mean()) if len(at) else None
+            for ws, total, count in zip(texts, sums.tolist(), counts.tolist()):
+                llr = total / count if count else None
                 candidate = llr is not None and llr <= low
                 repeated = repeated_words(ws, n) if candidate or every else None
                 flagged = candidate and repeated > 0 and repeated * share.denominator >= len(ws) * share.numerator
                 rows.append((len(ws), repeated, None if repeated is None else repeated / max(1, len(ws)), llr, flagged))
             cols = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], [key, "n_words", "n_repeated", "share", "llr", "flagged"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], [key, "n_words", "n_repeated", "share", "llr", "flagged"])
 
     rows = spread(docs.select(key, "text")).mapInArrow(run, f"{key} long, n_words long, n_repeated long, share double, llr double, flagged boolean")
     return rows.select(key, "n_words", "n_repeated", "share", "llr", F.lit(limit).alias("threshold"), "flagged")
