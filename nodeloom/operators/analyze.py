@@ -247,7 +247,21 @@ def weighted_degrees(edges: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
-def sections(nodes: DataFrame, archetypes: dict[str, list[str]], least: int = 2) -> DataFrame:
+# Kinds of sections of an architecture page and their keywords, in order of preference.
+ARCHETYPES = {
+    "extract-pipeline": ["extract", "extractor", "tree", "sitter", "parser", "language", "python", "javascript", "typescript", "rust", "java", "go", "ast", "calls", "imports", "multilang"],
+    "build-graph": ["build", "graph", "merge", "dedup", "node", "edge", "hyperedge", "json", "schema", "normalize", "confidence"],
+    "analysis-clustering": ["cluster", "community", "leiden", "cohesion", "analyze", "god", "surprise", "question", "query", "path", "explain", "benchmark"],
+    "outputs-docs": ["export", "html", "wiki", "obsidian", "canvas", "svg", "graphml", "report", "callflow", "mermaid", "tree", "documentation"],
+    "cli-skills": ["main", "install", "uninstall", "skill", "agent", "claude", "codex", "opencode", "aider", "copilot", "kiro", "vscode", "hook", "command"],
+    "ingest-cache-update": ["ingest", "fetch", "download", "url", "html", "markdown", "cache", "manifest", "watch", "update", "incremental", "transcribe", "video", "audio", "google"],
+    "serve-api": ["serve", "api", "request", "response", "endpoint", "router", "handle", "upload", "search", "delete", "enrich"],
+    "security-global": ["security", "safe", "ssrf", "xss", "path", "traversal", "global", "prefix", "prune", "repo", "clone"],
+    "tests-fixtures": ["test", "tests", "fixture", "fixtures", "sample", "assert", "pytest", "mock"],
+}
+
+
+def sections(nodes: DataFrame, archetypes: dict[str, list[str]] = ARCHETYPES, least: int = 2) -> DataFrame:
     """(community, section, score): the archetype whose keywords occur most often as whole words in
     a community's labels and files, of equals the first; null under ``least``."""
     text = F.lower(F.concat_ws(" ", "label", "source_file", "file_type"))

@@ -7,10 +7,17 @@ rows leave the cluster.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.functions.text import bare_name, search_form, strip_diacritics_py, token_text, trigrams
+from nodeloom.functions.text import bare_name, query_terms, search_form, strip_diacritics_py, token_text, trigrams
+from nodeloom.operators import traverse
+from nodeloom.operators.build import degrees
+from nodeloom.schema import Graph
+from nodeloom.session import materialize
+from nodeloom.sinks import log_query
 
 EXACT, PREFIX, SUBSTRING, SOURCE = 1000.0, 100.0, 1.0, 0.5
 # Question words that ask for a kind of edge, and other names of the kinds.
@@ -101,6 +108,43 @@ def filter_context(edges: DataFrame, filters: list[str]) -> DataFrame:
     return edges.where(F.col("context").isin(*filters)) if filters else edges
 
 
+# answers
+
+
+def answer(graph: Graph, question: str, mode: str = "bfs", depth: int = 3, tokens: int = 2000, filters: list[str] | None = None) -> DataFrame:
+    """(ord, line): text of what a question finds. Nodes are scored on the whole graph, the best
+    few are expanded breadth first or depth first over the question's kinds of edges, and the
+    result is rendered within its budget; line 0 tells how."""
+    spark = graph.nodes.sparkSession
+    seeds = pick_seeds(scores(searchable(graph.nodes), query_terms(question))).join(graph.nodes.select("id", F.coalesce("label", "id").alias("label")), "id").orderBy("rank").collect()  # a few seeds
+    if not seeds:
+        return spark.createDataFrame([(0, "No matching nodes found.")], "ord int, line string")
+    kinds = resolve_filters(question, filters)
+    part = graph.with_(edges=filter_context(graph.edges, kinds))
+    ids, degree = [r["id"] for r in seeds], materialize(degrees(part), "degrees")
+    if mode == "dfs":
+        walk = materialize(traverse.dfs(part, ids, depth), "walk")
+        found, walked = walk.select("id"), walk.select(F.col("id").alias("a"), F.explode("onward").alias("b"), F.col("ord").alias("depth")).join(walk.select(F.col("id").alias("b")), "b", "left_semi")
+    else:
+        found, walked = traverse.bfs(part, spark.createDataFrame([(x,) for x in ids], "id string"), depth, degree=degree)
+    how = f"Context: {', '.join(kinds)} ({'explicit' if normalize_filters(filters) else 'heuristic'})"
+    head = [f"Traversal: {mode.upper()} depth={depth}", f"Start: {[r['label'] for r in seeds]}", *[how] * bool(kinds), f"{found.count()} nodes found"]
+    lines = traverse.rendered(traverse.node_lines(part, found, degree), traverse.edge_lines(part, walked), ids, tokens)
+    return spark.createDataFrame([(0, " | ".join(head))], "ord int, line string").unionByName(lines)
+
+
+def query_tool(graph: Graph, arguments: dict, log: str | None = None) -> str:
+    """The answer to one call with question, mode, depth (6 at most), token_budget and
+    context_filter, as text; ``log``: path of the query log to which the call is appended."""
+    began = time.perf_counter()
+    asked = {"mode": arguments.get("mode", "bfs"), "depth": min(int(arguments.get("depth", 3)), 6), "tokens": int(arguments.get("token_budget", 2000))}
+    rows = answer(graph, arguments["question"], filters=arguments.get("context_filter"), **asked).orderBy("ord").collect()  # bounded by the budget
+    text = rows[0]["line"] + ("\n\n" + "\n".join(r["line"] for r in rows[1:]) if len(rows) > 1 else "")
+    if log:
+        log_query(graph.nodes.sparkSession, log, kind="query", question=arguments["question"], chars=len(text), duration_ms=(time.perf_counter() - began) * 1000, **asked)
+    return text
+
+
 # trigram index
 
 

@@ -125,7 +125,7 @@ UNION ALL SELECT 'new_edge', * FROM (SELECT * FROM kn EXCEPT SELECT * FROM ko) U
 )
 def _(s, d):
     """Two overlapping snapshots of the graph, eight tenths each."""
-    g = graph(s, d, keep_edges=True)
+    g = graph(s, d)
     old = g.with_(nodes=g.nodes.where("seq % 10 < 8"), edges=g.edges.where("seq % 10 < 8"))
     return analyze.diff(old, g.with_(nodes=g.nodes.where("seq % 10 >= 2"), edges=g.edges.where("seq % 10 >= 2")))
 
@@ -257,20 +257,21 @@ def _(s, d):
     return analyze.common_root(graph(s, d).nodes)
 
 
-ARCHETYPES = {"serving": ["search", "viewer", "console", "router", "reader"], "storage": ["storage", "cacher", "writer", "cache", "index"], "text": ["papers", "notes", "readme", "glossary", "docs", "report", "reports"]}
-
-
 @query(
     "g45_sections",
     sql(
         "t AS (SELECT community, ' ' || regexp_replace(lower(concat_ws(' ', label, source_file, file_type)), '[^a-z0-9]', '  ', 'g') || ' ' AS t FROM n WHERE community IS NOT NULL), c AS (SELECT community, "
-        + ", ".join(f"sum(len(regexp_extract_all(t, ' ({'|'.join(w)}) ')))::INT AS s{i}" for i, w in enumerate(ARCHETYPES.values()))
-        + " FROM t GROUP BY 1) SELECT community, greatest(s0, s1, s2)::BIGINT AS score, CASE WHEN greatest(s0, s1, s2) < 2 THEN NULL WHEN s0 >= s1 AND s0 >= s2 THEN 'serving' WHEN s1 >= s2 THEN 'storage' ELSE 'text' END AS section FROM c",
+        + ", ".join(f"sum(len(regexp_extract_all(t, ' ({'|'.join(w)}) ')))::BIGINT AS s{i}" for i, w in enumerate(analyze.ARCHETYPES.values()))
+        + " FROM t GROUP BY 1), x AS (SELECT *, greatest("
+        + ", ".join(f"s{i}" for i in range(len(analyze.ARCHETYPES)))
+        + ") AS score FROM c) SELECT community, score, CASE WHEN score < 2 THEN NULL "
+        + " ".join(f"WHEN s{i} = score THEN '{name}'" for i, name in enumerate(analyze.ARCHETYPES))
+        + " END AS section FROM x",
         "n",
     ),
 )
 def _(s, d):
-    return analyze.sections(graph(s, d).nodes, ARCHETYPES)
+    return analyze.sections(graph(s, d).nodes)
 
 
 _SECTION = "m AS (SELECT id, CASE WHEN community % 5 < 4 THEN 's' || (community % 5) END AS section FROM n WHERE community IS NOT NULL), k AS (SELECT g.*, a.section AS sa, b.section AS sb, CASE WHEN a.section IS NULL OR b.section IS NULL THEN 'orphan' WHEN a.section = b.section THEN 'intra' ELSE 'inter' END AS kind FROM g LEFT JOIN m a ON a.id = g.source LEFT JOIN m b ON b.id = g.target)"

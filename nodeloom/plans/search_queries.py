@@ -6,16 +6,17 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from nodeloom.functions.text import callable_key, query_terms
+from nodeloom.functions.text import callable_key, query_terms, word_count
 from nodeloom.operators import search, traverse
 from nodeloom.operators.build import degrees
 from nodeloom.plans.view import graph, simple, sql
 from nodeloom.schema import IMPACT_RELATIONS
+from nodeloom.session import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 QUESTION = "Which calls reach the registry hub lookup decoder?"
-TERMS = [t for t in query_terms("registry hub lookup decode")]
+TERMS = query_terms(QUESTION)
 
 
 def query(name: str, oracle: str | None = None):
@@ -154,27 +155,50 @@ def _clean(c: str) -> str:
     return f"coalesce(substr(regexp_replace({c}::VARCHAR, '[\\x00-\\x1f\\x7f]', '', 'g'), 1, 256), '')"
 
 
-_LINES = f"""lines AS (SELECT n.id, n.seq, deg.degree, 'NODE ' || {_clean("n.label")} || ' [src=' || {_clean("n.source_file")} || ' loc=' || {_clean("n.source_location")} || ' community=' || {_clean("n.community")} || ']' AS line FROM n JOIN deg ON deg.id = n.id),
-upto AS (SELECT *, sum(length(line) + 1) OVER (ORDER BY degree DESC, seq, id) - 1 AS upto FROM lines WHERE id IN (SELECT id FROM w))"""
+_NAME = _clean("coalesce(n.label, n.id)")
 
 
-@query("q16_text_budget", sql(f"{_ADJ}, {_HUB}, {_FIRST}, {_walk('adj', 1)}, {_LINES} SELECT id, degree, line FROM upto WHERE upto <= 6000", "deg", recursive=True))
+def _answer(g: str, deg: str, depth: int, hub: str, tokens: int) -> str:
+    """Lines of an answer from ``w`` (id, depth), edges ``g`` and degrees ``deg``; seeds: seed (id, k1)."""
+    return f"""far AS (SELECT id, min(depth) AS depth FROM w GROUP BY id),
+lines AS (SELECT CASE WHEN s.id IS NULL THEN 1 ELSE 0 END AS k0, coalesce(s.k1, -{deg}.degree) AS k1, n.seq AS k2, n.id AS k3, 'NODE ' || {_NAME} || ' [src=' || {_clean("n.source_file")} || ' loc=' || {_clean("n.source_location")} || ' community=' || {_clean("n.community")} || ']' AS line
+  FROM far JOIN n ON n.id = far.id JOIN {deg} ON {deg}.id = n.id LEFT JOIN seed s ON s.id = n.id
+  UNION ALL SELECT 2, z.depth, {g}.seq, z.id, 'EDGE ' || {_clean("coalesce(na.label, na.id)")} || ' --' || {_clean(g + ".relation")} || ' [' || {_clean(g + ".confidence")} || CASE WHEN {g}.context <> '' THEN ' context=' || {_clean(g + ".context")} ELSE '' END || ']--> ' || {_clean("coalesce(nz.label, nz.id)")}
+  FROM far a JOIN adj ON adj.a = a.id JOIN far z ON z.id = adj.b AND z.depth = a.depth + 1 JOIN {g} ON {g}.u = least(a.id, z.id) AND {g}.v = greatest(a.id, z.id) JOIN n na ON na.id = a.id JOIN n nz ON nz.id = z.id
+  WHERE a.depth < {depth} AND (a.depth = 0 OR (SELECT degree FROM {deg} WHERE {deg}.id = a.id) < ({hub}))),
+upto AS (SELECT *, row_number() OVER o AS ord, sum(length(line) + 1) OVER o - 1 AS upto, sum(length(line) + 1) OVER () - 1 AS total FROM lines WINDOW o AS (ORDER BY k0, k1, k2, k3)),
+kept AS (SELECT k0, ord, line, total FROM upto WHERE CASE WHEN total <= {tokens * 3} THEN true ELSE upto < {tokens * 3} END),
+shown AS (SELECT ord, line FROM kept UNION ALL SELECT max(ord) + 1, '... (truncated — ' || ((SELECT count(*) FROM lines WHERE k0 < 2) - count(*) FILTER (WHERE k0 < 2)) || ' more nodes cut by ~{tokens}-token budget. Narrow with context_filter=[''call''] or use get_node for a specific symbol)' FROM kept HAVING max(total) > {tokens * 3})"""
+
+
+@query("q16_text_budget", sql(f"{_ADJ}, {_HUB}, seed AS (SELECT id, row_number() OVER (ORDER BY seq, id) AS k1 FROM n ORDER BY seq, id LIMIT 3), {_walk('adj', 2)}, {_answer('g', 'deg', 2, 'SELECT t FROM hub', 2000)} SELECT ord::INT AS ord, line FROM shown", "deg", recursive=True))
 def _(s, d):
-    g = simple(s, d)
-    found, _edges = traverse.bfs(g, _first(g), 1)
-    return traverse.within_budget(traverse.node_lines(g, found), 2000)
+    g, degree = simple(s, d), degrees(simple(s, d))
+    seeds = [r.id for r in g.nodes.orderBy("seq", "id").limit(3).collect()]
+    found, walked = traverse.bfs(g, _first(g), 2)
+    return traverse.rendered(traverse.node_lines(g, found, degree), traverse.edge_lines(g, walked), seeds)
 
 
 @query(
     "q17_query_graph",
-    sql(f"{_SCORE}, {_SEEDS}, fg AS (SELECT * FROM g WHERE context IN ('call')), fe AS (SELECT u AS id FROM fg UNION ALL SELECT v FROM fg), fdeg AS (SELECT n.id, coalesce(k, 0) AS degree FROM n LEFT JOIN (SELECT id, count(*) AS k FROM fe GROUP BY id) c ON c.id = n.id), seed AS (SELECT id FROM seeds), adj AS (SELECT u AS a, v AS b FROM fg UNION SELECT v, u FROM fg), {_HUB.replace('FROM deg)', 'FROM fdeg)')}, {_walk('adj', 2).replace('FROM deg WHERE deg.id', 'FROM fdeg WHERE fdeg.id')} SELECT w.id, n.label, min(depth)::INT AS depth FROM w JOIN n ON n.id = w.id GROUP BY 1, 2", "g", recursive=True),
+    sql(
+        f"""{_SCORE}, {_SEEDS}, fg AS (SELECT * FROM g WHERE context IN ('call')), fe AS (SELECT u AS id FROM fg UNION ALL SELECT v FROM fg), fdeg AS (SELECT n.id, coalesce(k, 0) AS degree FROM n LEFT JOIN (SELECT id, count(*) AS k FROM fe GROUP BY id) c ON c.id = n.id),
+seed AS (SELECT id, rank + 1 AS k1 FROM seeds), adj AS (SELECT u AS a, v AS b FROM fg UNION SELECT v, u FROM fg), {_HUB.replace('FROM deg)', 'FROM fdeg)')}, {_walk('adj', 3).replace('FROM deg WHERE deg.id', 'FROM fdeg WHERE fdeg.id')}, {_answer('fg', 'fdeg', 3, 'SELECT t FROM hub', 2000)}
+SELECT 0 AS ord, 'Traversal: BFS depth=3 | Start: [' || (SELECT string_agg(CASE WHEN contains(x, chr(39)) AND NOT contains(x, '"') THEN '"' || x || '"' ELSE chr(39) || replace(x, chr(39), '\' || chr(39)) || chr(39) END, ', ' ORDER BY rank) FROM (SELECT rank, coalesce(n.label, n.id) AS x FROM seeds JOIN n ON n.id = seeds.id)) || '] | Context: call (heuristic) | ' || (SELECT count(*) FROM far) || ' nodes found' AS line
+UNION ALL SELECT ord::INT, line FROM shown""",
+        "g",
+        recursive=True,
+    ),
 )
 def _(s, d):
-    """Question to seeds (scored on the whole graph), then expansion over its kind of edges."""
-    g = simple(s, d)
-    seeds = search.pick_seeds(search.scores(search.searchable(g.nodes), TERMS))
-    filtered = g.with_(edges=search.filter_context(g.edges, search.resolve_filters(QUESTION)))
-    return traverse.bfs(filtered, seeds, 2)[0].join(g.nodes.select("id", "label"), "id").select("id", "label", "depth")
+    """Question to seeds (scored on the whole graph), expansion over its kind of edges, text."""
+    return search.answer(simple(s, d), QUESTION)
+
+
+@query("q18_query_tool")
+def _(s, d):
+    asked = {"question": QUESTION, "mode": "dfs", "depth": 9, "token_budget": 500, "context_filter": ["calls", "imports"]}
+    return s.createDataFrame([(search.query_tool(simple(s, d), asked),)], "answer string")
 
 
 @query("q19_get_node", sql("SELECT id, label, source_file, community FROM n WHERE contains(lower(coalesce(label, '')), 'loader') OR lower(id) = 'loader' ORDER BY seq, id LIMIT 1", "n"))
@@ -214,13 +238,27 @@ def _(s, d):
 _PAIR = "a AS (SELECT id FROM n ORDER BY seq, id LIMIT 1 OFFSET 20), z AS (SELECT max_by(id, seq) AS id FROM n WHERE id IN (SELECT u FROM g UNION SELECT v FROM g))"
 
 
-@query("q23_shortest_path", sql(f"{_ADJ}, {_PAIR}, seed AS (SELECT id FROM a), {_walk('adj', 8, False)} SELECT min(depth)::INT AS hops FROM w WHERE id = (SELECT id FROM z) HAVING min(depth) IS NOT NULL", "deg", recursive=True))
+def _next(k: int) -> str:
+    """The k-th node of the path: of all nodes that are one nearer to the end the smallest."""
+    return f"p{k} AS (SELECT min(adj.b) AS id FROM p{k - 1} JOIN adj ON adj.a = p{k - 1}.id JOIN far f ON f.id = adj.b AND f.depth = (SELECT hops FROM len) - {k})"
+
+
+@query(
+    "q23_shortest_path",
+    sql(
+        f"""{_ADJ}, {_PAIR}, seed AS (SELECT id FROM z), {_walk('adj', 8, False)}, far AS (SELECT id, min(depth) AS depth FROM w GROUP BY id), len AS (SELECT f.depth AS hops FROM far f JOIN a ON a.id = f.id), p0 AS (SELECT a.id FROM a, len), {", ".join(map(_next, range(1, 9)))},
+p AS ({" UNION ALL ".join(f"SELECT {k} AS step, id, {f'(SELECT id FROM p{k - 1})' if k else 'NULL'} AS before FROM p{k} WHERE id IS NOT NULL" for k in range(9))})
+SELECT p.step::INT AS step, p.id, coalesce(n.label, n.id) AS label, g.relation, g.confidence, g.source = p.before AS forward FROM p JOIN n ON n.id = p.id LEFT JOIN g ON g.u = least(p.id, p.before) AND g.v = greatest(p.id, p.before)""",
+        "deg",
+        recursive=True,
+    ),
+)
 def _(s, d):
     g = simple(s, d)
     a = g.nodes.orderBy("seq", "id").limit(21).orderBy(F.desc("seq"), F.desc("id")).limit(1).select("id")
     ends = g.edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     z = g.nodes.join(ends, "id", "left_semi").agg(F.max_by("id", "seq").alias("id"))
-    return traverse.hops(g, a, z)
+    return traverse.path_steps(g, traverse.shortest_path(g, a, z) or [])
 
 
 @query("q25_explain", sql("me AS (SELECT id FROM n ORDER BY seq, id LIMIT 1), x AS (SELECT CASE WHEN u = me.id THEN v ELSE u END AS id, relation, confidence FROM g, me WHERE u = me.id OR v = me.id) SELECT x.id, n.label, x.relation, deg.degree FROM x JOIN deg ON deg.id = x.id JOIN n ON n.id = x.id ORDER BY deg.degree DESC, n.seq LIMIT 20", "deg"))
@@ -303,11 +341,32 @@ def _(s, d):
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("community").orderBy("seq", "id"))).where("rank <= 4").select("community", "id", "label", "rank")
 
 
-@query("g34_token_reduction")
+QUESTIONS = ["how does the registry decode a queue", "what renders the beacon sketcher", "how are traces flushed and merged", "what connects the sampler to the tracker", "where is the glossary of the prairie", "zzz nothing"]
+
+
+def _size(q: str) -> str:
+    """One question's tokens, see traverse.question_size."""
+    hits = " + ".join(f"contains(lower(coalesce(label, '')), '{t}')::INT" for t in query_terms(q))
+    return f"""SELECT '{q}' AS question, greatest(1, (sum(k + 1) - 1) // 4)::BIGINT AS query_tokens FROM (WITH RECURSIVE seed AS (SELECT id FROM n WHERE {hits} > 0 ORDER BY {hits} DESC, id DESC LIMIT 3), {_walk('adj', 3, False)}, far AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)
+SELECT length(coalesce(label, n.id)) + length(coalesce(source_file, '')) + length(coalesce(source_location, '')) + 15 AS k FROM far JOIN n ON n.id = far.id
+UNION ALL SELECT length(coalesce(na.label, na.id)) + length(coalesce(nz.label, nz.id)) + length(coalesce(g.relation, '')) + 12 FROM far a JOIN adj ON adj.a = a.id JOIN far z ON z.id = adj.b AND z.depth = a.depth + 1 JOIN g ON g.u = least(a.id, z.id) AND g.v = greatest(a.id, z.id) JOIN n na ON na.id = a.id JOIN n nz ON nz.id = z.id) HAVING count(*) > 0"""
+
+
+_CORPUS_WORDS = "CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+'), lambda w: w <> '')) END"
+
+
+@query(
+    "g34_token_reduction",
+    sql(
+        f"""{_ADJ}, q AS MATERIALIZED ({" UNION ALL ".join(map(_size, QUESTIONS))}), c AS (SELECT (sum({_CORPUS_WORDS}) * 100 // 75)::BIGINT AS t FROM source_files), x AS (SELECT * FROM q UNION ALL SELECT NULL, (sum(query_tokens) // count(*))::BIGINT FROM q HAVING count(*) > 0)
+SELECT question, t AS corpus_tokens, query_tokens, round(t::DOUBLE / query_tokens, 1) AS reduction FROM x, c""",
+        "g",
+        recursive=True,
+    ),
+)
 def _(s, d):
-    g = simple(s, d)
-    found, _edges = traverse.bfs(g, _first(g).limit(1), 1, cutoff=False)
-    return traverse.reduction(g, 92_616, traverse.node_lines(g, found))
+    words = table(s, d, "source_files").agg(F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0)).alias("words"))
+    return traverse.token_reduction(simple(s, d), words, QUESTIONS)
 
 
 @query("g35_bfs_no_cutoff", sql(f"{_ADJ}, {_FIRST}, {_walk('adj', 2, False)} SELECT id, min(depth)::INT AS depth FROM w GROUP BY id", "deg", recursive=True))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.operators import build
 from nodeloom.schema import ANALYSIS_FAMILIES, BUILD_FAMILIES, FILE_TYPE_SYNONYMS, FILE_TYPES, Graph
-from nodeloom.session import materialize, table
+from nodeloom.session import materialize, stored, table
 
 
 def raw_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -23,15 +23,29 @@ def raw_edges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "graph_edges").withColumnRenamed("edge_seq", "seq")
 
 
-def graph(spark: SparkSession, d: str, directed: bool = False, keep_edges: bool = False) -> Graph:
-    """Nodes are written to the shared folder, edges only if they will be read several times."""
-    g = build.from_tables(table(spark, d, "graph_nodes"), table(spark, d, "graph_edges"), materialize).with_(directed=directed)
-    return g.with_(edges=materialize(g.edges, "edges")) if keep_edges else g
+def _inputs(d: str) -> list[str]:
+    return [f"{d}/graph_nodes.parquet", f"{d}/graph_edges.parquet"]
 
 
-def simple(spark: SparkSession, d: str, directed: bool = False, keep_edges: bool = True) -> Graph:
-    g = build.simple(graph(spark, d, directed))
-    return g.with_(edges=materialize(g.edges, "edges")) if keep_edges else g
+def graph(spark: SparkSession, d: str, directed: bool = False) -> Graph:
+    """The stored graph of the tables' present version: assembled once, nodes and edges written to
+    the shared folder, as the graph file of an engine that loads one would be."""
+
+    def make() -> Graph:
+        g = build.from_tables(table(spark, d, "graph_nodes"), table(spark, d, "graph_edges"), materialize)
+        return g.with_(edges=materialize(g.edges, "edges"))
+
+    return stored(spark, "graph", _inputs(d), make).with_(directed=directed)
+
+
+def simple(spark: SparkSession, d: str, directed: bool = False) -> Graph:
+    """The stored simple graph, see :func:`graph`."""
+
+    def make() -> Graph:
+        g = build.simple(graph(spark, d, directed))
+        return g.with_(edges=materialize(g.edges, "simple"))
+
+    return stored(spark, f"simple{directed}", _inputs(d), make)
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:

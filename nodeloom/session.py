@@ -63,11 +63,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 _written: list[str] = []
+_kept: dict[tuple, object] = {}
 
 
 def release(spark: SparkSession) -> None:
     """Remove all tables that :func:`materialize` has written so far; results that still need
     them must have been used. Happens at exit as well."""
+    _kept.clear()
     while _written:
         _remove(spark, _written.pop())
 
@@ -87,6 +89,28 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def version(spark: SparkSession, paths: list[str]) -> tuple:
+    """(file, size, time of change) of all files under the paths: another version of an input has
+    another value."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(conf).listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def stored(spark: SparkSession, name: str, paths: list[str], make):
+    """What ``make()`` has stored for the present version of the input files, made only if this
+    session has not done so before; until :func:`release`."""
+    key = (spark.sparkContext.applicationId, name, version(spark, paths))
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def scan_units(df: DataFrame) -> int:
     """How many tasks a scan of ``df``'s files can really use: row groups, not byte splits.
 

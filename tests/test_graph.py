@@ -103,8 +103,14 @@ def test_bfs_hops_and_direction(spark):
     assert got == {k: d for k, d in dist.items() if d <= 3}
     one = lambda x: spark.createDataFrame([(x,)], "id string")
     far = max(dist, key=dist.get)
-    assert [r.hops for r in traverse.hops(g, one(seed), one(far)).collect()] == [dist[far]]
-    assert traverse.hops(g, one(seed), one(far), most=dist[far] - 1).collect() == []
+    path, back = traverse.shortest_path(g, one(seed), one(far)), levels(near, [far])
+    want = [seed]
+    while want[-1] != far:
+        want.append(min(x for x in near[want[-1]] if back[x] == back[want[-1]] - 1))
+    assert path == want and traverse.shortest_path(g, one(seed), one(far), most=dist[far] - 1) is None
+    assert traverse.shortest_path(g, one(seed), one("none")) is None and traverse.shortest_path(g, one(seed), one(seed)) == [seed]
+    text = traverse.path_text(traverse.path_steps(g, path), ["warning: x"])
+    assert text.startswith(f"warning: x\nShortest path ({dist[far]} hops):\n  {seed} ") and text.count("calls [EXTRACTED]") == dist[far]
     d = simple(spark, [("a", "b"), ("b", "c"), ("d", "b")], directed=True)
     assert {r.id for r in traverse.bfs(d, one("a"), 5)[0].collect()} == {"a", "b", "c"}
     hits = {(r.id, r.depth) for r in traverse.affected(d, one("c")).collect()}
@@ -125,6 +131,49 @@ def test_dfs_visits_in_edge_order(spark):
     g = simple(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "e")])
     order = [r.id for r in traverse.dfs(g, ["a"], 2).orderBy("ord").collect()]
     assert order[0] == "a" and set(order) == set("abcde") and order.index("e") == order.index("c") + 1
+    assert [r.onward for r in traverse.dfs(g, ["a"], 2).orderBy("ord").collect()] == [["b", "c"], ["e"], [], ["d"], []]
+
+
+def test_dfs_of_a_seed_without_edges(spark):
+    g = simple(spark, [("a", "b")], isolated=["z"])
+    assert [r.id for r in traverse.dfs(g, ["z"], 2).collect()] == ["z"]
+    assert [r.id for r in traverse.dfs(g, ["z", "a", "none"], 2).orderBy("ord").collect()] == ["z", "a", "b"]
+    assert traverse.dfs(g, ["none"], 2).collect() == []
+
+
+def test_large_levels_give_the_same(spark, monkeypatch):
+    pairs = random_pairs(8)
+    g, one = simple(spark, pairs), spark.createDataFrame([(pairs[0][0],)], "id string")
+    rows = [[sorted(map(tuple, x.collect())) for x in traverse.bfs(g, one, 4)]]
+    monkeypatch.setattr(traverse, "SMALL", 0)
+    rows.append([sorted(map(tuple, x.collect())) for x in traverse.bfs(g, one, 4)])
+    assert rows[0] == rows[1]
+
+
+def test_answers(spark, tmp_path):
+    labels = {"a": "parse_config()", "b": "load it", "c": "Config", "d": "far"}
+    g = simple(spark, [("a", "b"), ("b", "c"), ("c", "d")], labels=labels, relations={("b", "c"): "imports"})
+    lines = [r.line for r in search.answer(g, "parse config", depth=1).orderBy("ord").collect()]
+    assert lines[0] == "Traversal: BFS depth=1 | Start: ['Config', 'parse_config()'] | 4 nodes found" and len(lines) == 1 + 4 + 3
+    assert lines[1] == "NODE Config [src=src/c.py loc=L1 community=]" and lines[2].startswith("NODE parse_config()")
+    assert "EDGE Config --imports [EXTRACTED context=call]--> load it" in lines
+    cut = [r.line for r in search.answer(g, "parse config", depth=1, tokens=40).orderBy("ord").collect()]
+    assert len("\n".join(cut[1:-1])) < 120 and cut[:3] == lines[:3] and cut[-1].startswith("... (truncated \u2014 2 more nodes cut by ~40-token budget.")
+    assert [r.line for r in search.answer(g, "zzz").collect()] == ["No matching nodes found."]
+    log = f"file://{tmp_path}/log"
+    text = search.query_tool(g, {"question": "who calls config", "mode": "dfs", "depth": 9}, log)
+    assert text.startswith("Traversal: DFS depth=6 | Start: ['Config', 'parse_config()'] | Context: call (heuristic) | 4 nodes found\n\nNODE Config")
+    assert '"depth": 6' in spark.read.text(log).first().value
+
+
+def test_token_reduction(spark):
+    g = simple(spark, [("a", "b")], labels={"a": "alpha", "b": "beta"})
+    words = spark.createDataFrame([(750,)], "words long")
+    size = max(1, len("NODE alpha src=src/a.py loc=L1\nNODE beta src=src/b.py loc=L1\nEDGE alpha --calls--> beta") // 4)
+    rows = {r.question: r for r in traverse.token_reduction(g, words, ["where is alpha", "zzz"]).collect()}
+    assert set(rows) == {"where is alpha", None} and rows[None].query_tokens == rows["where is alpha"].query_tokens == size
+    assert rows[None].corpus_tokens == 1000 and rows[None].reduction == round(1000 / size, 1)
+    assert traverse.token_reduction(g, words, ["zzz"]).collect() == []
 
 
 def brandes(near, nodes):

@@ -8,7 +8,7 @@ import pytest
 
 from nodeloom.plans import catalog
 
-QUICK = "b01_validate b05_ghosts b06_simple_graph b06_simple_digraph b16_merge_external b25_sanitized_nodes g01_god_nodes g07_surprise_scores g14_graph_diff g22_cohesion g25_diagnose g29_lessons q08_seeds q13_bfs q16_text_budget q17_query_graph q23_shortest_path q27_affected d12_verified_pairs d13_components i01_changes i04_file_hash i10_rebuilt_edges x09_imported_calls s03_paper_signals t01_debounced k02_cypher p3_found".split()
+QUICK = "b01_validate b05_ghosts b06_simple_graph b06_simple_digraph b16_merge_external b25_sanitized_nodes g01_god_nodes g07_surprise_scores g14_graph_diff g22_cohesion g25_diagnose g29_lessons q08_seeds q13_bfs q16_text_budget q17_query_graph q23_shortest_path g34_token_reduction q27_affected d12_verified_pairs d13_components i01_changes i04_file_hash i10_rebuilt_edges x09_imported_calls s03_paper_signals t01_debounced k02_cypher p3_found".split()
 NAMES = sorted(catalog.SQL) if os.environ.get("FULL_ORACLES") else QUICK
 
 
