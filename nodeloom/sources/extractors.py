@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from nodeloom.functions.ids import make_id_py
+from nodeloom.sources.languages import SUFFIXES
 
 Row = tuple[str, str | None, str | None, str | None, str | None, int]  # kind, id, label, source, relation, line
 SCHEMA = "path string, kind string, id string, label string, source string, relation string, line int"
@@ -100,18 +101,18 @@ def markdown(path: str, text: str) -> list[Row]:
     return rows
 
 
-def json_keys(path: str, text: str, deepest: int = 3) -> list[Row]:
-    """Keys of an object, to a depth, under the file."""
+def json_keys(path: str, text: str) -> list[Row]:
+    """Keys of an object and of the objects in it, under the file."""
     fid, rows = _file(path)
 
-    def walk(value, parent: str, depth: int) -> None:
-        if isinstance(value, dict) and depth < deepest:
+    def walk(value, parent: str) -> None:
+        if isinstance(value, dict):
             for k, v in value.items():
                 nid = make_id_py(parent, k)
                 rows.extend([("node", nid, k[:256], None, None, 1), ("edge", nid, None, parent, "contains", 1)])
-                walk(v, nid, depth + 1)
+                walk(v, nid)
 
-    walk(json.loads(text), fid, 0)
+    walk(json.loads(text), fid)
     return rows
 
 
@@ -155,7 +156,7 @@ def bash(path: str, text: str) -> list[Row]:
     return rows
 
 
-EXTRACTORS: dict[str, Callable[[str, str], list[Row]]] = {".py": python, ".pyi": python, ".md": markdown, ".mdx": markdown, ".markdown": markdown, ".json": json_keys, ".sql": sql, ".sh": bash, ".bash": bash}
+EXTRACTORS: dict[str, Callable[[str, str], list[Row]]] = {**SUFFIXES, ".py": python, ".pyi": python, ".md": markdown, ".mdx": markdown, ".markdown": markdown, ".json": json_keys, ".sql": sql, ".sh": bash, ".bash": bash}
 
 
 def extract(files: DataFrame, extractors: dict[str, Callable[[str, str], list[Row]]] | None = None) -> DataFrame:
