@@ -112,14 +112,26 @@ def cross_community_surprises(graph: Graph) -> DataFrame:
     return best.select("low", "high", "x.*")
 
 
+def structural_surprises(graph: Graph, n: int = 5, most_nodes: int = 5000) -> DataFrame:
+    """(seq, source, target, relation, confidence, betweenness): the edges on most shortest paths,
+    for a graph without communities. Exact up to ``most_nodes`` nodes, above from 100 pivots."""
+    from nodeloom.operators import centrality
+
+    _, held = centrality.betweenness(graph, centrality.pivots_for(graph.nodes.count(), most_nodes))
+    rows = graph.edges.join(held, ["u", "v"]).where("source <> target").orderBy(F.desc("betweenness"), "seq").limit(n)
+    return rows.select("seq", "source", "target", "relation", "confidence", "betweenness")
+
+
 def surprising(graph: Graph, n: int = 5) -> DataFrame:
     """The highest cross-file surprises; over a single source file, or without any, one edge per
-    pair of communities."""
+    pair of communities, or without communities the edges on most shortest paths."""
     several = graph.nodes.where("source_file <> ''").select("source_file").distinct().limit(2).count() > 1
     if several:
         rows = cross_file_surprises(graph, n)
         if not rows.isEmpty():
             return rows.select("source", "target", "relation", "confidence")
+    if graph.nodes.where("community IS NOT NULL").isEmpty():
+        return structural_surprises(graph, n).select("source", "target", "relation", "confidence")
     rows = cross_community_surprises(graph).orderBy(confidence_rank(F.col("confidence")), "seq").limit(n).select("seq")
     return graph.edges.join(F.broadcast(rows), "seq").select("source", "target", "relation", "confidence")  # n rows
 
@@ -215,6 +227,22 @@ def node_reach(graph: Graph) -> DataFrame:
     return rows.groupBy("id").agg(F.count_distinct(other).alias("reach"))
 
 
+def bridges(graph: Graph, n: int = 5) -> DataFrame:
+    """(id, degree, reach): the nodes that reach most other communities, then the best connected."""
+    from nodeloom.operators.build import degrees
+
+    rows = node_reach(graph).where("reach > 0").join(degrees(graph), "id").join(graph.nodes.select("id", "seq"), "id")
+    return rows.orderBy(F.desc("reach"), F.desc("degree"), "seq").limit(n).select("id", "degree", "reach")
+
+
+def community_hyperedges(hyper: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, communities): hyperedges (id, nodes) between the communities of their members; those
+    within one community go."""
+    of = nodes.where("community IS NOT NULL").select(F.col("id").alias("node"), "community")
+    rows = hyper.select("id", F.explode("nodes").alias("node")).join(of, "node").groupBy("id").agg(F.sort_array(F.collect_set("community")).alias("communities"))
+    return rows.where(F.size("communities") > 1)
+
+
 def dominant_confidence(graph: Graph) -> DataFrame:
     """(id, confidence): the most frequent among a node's edges, of equals the one seen first."""
     rows = neighbours(graph).groupBy("id", F.coalesce("confidence", F.lit("EXTRACTED")).alias("confidence")).agg(F.count("*").alias("k"), F.min("seq").alias("first"))

@@ -199,6 +199,41 @@ def degrees(graph: Graph) -> DataFrame:
     return graph.nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+class ShrinkError(ValueError):
+    """A merge would leave fewer nodes than there were, without deduplication as the reason."""
+
+
+def build(parts: list[tuple[DataFrame, DataFrame]], directed: bool = False, dedup: bool = True, resolver=None, keep=lambda df, name: df) -> Graph:
+    """Several extractions (nodes, edges) as one simple graph: joined in their order, ids in normal
+    form, the last delivery of a node counting; with ``dedup`` near-identical entities of a repo
+    merged (``dedup.resolve``); then attached and folded. ``keep(df, name)`` may store a stage."""
+    from nodeloom.operators.dedup import resolve
+
+    late = lambda i: (F.lit(i).cast("long") * 2**40 + F.col("seq")).alias("seq")
+    nodes = reduce(DataFrame.unionByName, [n.select(late(i), normalize_id("id").alias("id"), *NODE_COLS) for i, (n, _) in enumerate(parts)])
+    edges = reduce(DataFrame.unionByName, [e.select(late(i), normalize_id("source").alias("source"), normalize_id("target").alias("target"), normalize_id("relation").alias("relation"), *EDGE_COLS) for i, (_, e) in enumerate(parts)])
+    nodes = keep(dedupe_nodes(nodes.where("id <> ''").withColumn("file_type", coerce_file_type(F.col("file_type")))), "nodes")
+    edges = edges.where("source <> '' AND target <> ''")
+    if dedup:
+        nodes, edges, _ = resolve(nodes, edges, resolver)
+    return simple(Graph(nodes, attach(edges, nodes), directed))
+
+
+def build_merge(old: Graph, parts: list[tuple[DataFrame, DataFrame]], pruned: DataFrame | None = None, dedup: bool = True, resolver=None, keep=lambda df, name: df) -> Graph:
+    """``old`` with new extractions in place of all it had from the same source files, without the
+    sources in ``pruned`` (source_file). Without ``dedup`` a result of fewer nodes than before is
+    refused unless sources were pruned: it means that an extraction lost something."""
+    new_nodes, new_edges = (reduce(DataFrame.unionByName, [p[i].select("seq", *(["id"] if i == 0 else ["source", "target", "relation"]), *(NODE_COLS if i == 0 else EDGE_COLS)) for p in parts]) for i in (0, 1))
+    nodes = merge_by_source(old.nodes.select(new_nodes.columns), new_nodes, pruned)
+    edges = merge_by_source(old.edges.select(new_edges.columns), new_edges, pruned)
+    out = build([(nodes, edges)], old.directed, dedup, resolver, keep)
+    if not dedup and pruned is None:
+        before, after = old.nodes.count(), out.nodes.count()
+        if after < before:
+            raise ShrinkError(f"{after} nodes would replace {before}")
+    return out
+
+
 # merging graphs
 
 
@@ -291,6 +326,42 @@ def sanitize_semantic(nodes: DataFrame, edges: DataFrame, **limits) -> tuple[Dat
     return kept, out.select(edges.columns), rationale
 
 
+# Limits of one extraction that a model returned.
+FRAGMENT_BYTES, FRAGMENT_NODES, FRAGMENT_EDGES, FRAGMENT_HYPEREDGES, HYPEREDGE_NODES, ID_LENGTH = 25 << 20, 10_000, 100_000, 10_000, 256, 256
+FRAGMENT_ID = r"^[A-Za-z0-9._:-]+$"
+
+
+def fragment_errors(fragments: DataFrame, key: str = "fragment_id", payload: str = "payload") -> DataFrame:
+    """(key, error): what is wrong with extractions (JSON objects of nodes, edges, hyperedges) that
+    are not trusted: too large, not lists of objects, ids or file types that are not allowed. A
+    fragment without a row is valid."""
+    kinds = "nodes array<struct<id:string,file_type:string>>, edges array<struct<source:string,target:string>>, hyperedges array<struct<id:string,nodes:array<string>>>"
+    is_object = F.ltrim(F.coalesce(F.col(payload), F.lit(""))).startswith("{") & F.try_parse_json(F.col(payload)).isNotNull()
+    rows = fragments.select(key, F.octet_length(payload).alias("n"), is_object.alias("ok"), F.from_json(payload, kinds).alias("d"), F.from_json(payload, "nodes string, edges string, hyperedges string").alias("raw"))
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.when(F.col(f"raw.{c}").isNotNull() & ~F.col(f"raw.{c}").startswith("["), F.array(F.lit(f"{c} must be a list"))).otherwise(none)
+    many = lambda c, most: F.when(F.size(f"d.{c}") > most, F.array(F.concat(F.lit(f"{c} has "), F.size(f"d.{c}"), F.lit(f" entries; max is {most}")))).otherwise(none)
+
+    def bad_id(c: Column, where: Column) -> Column:
+        wrong = F.coalesce(c, F.lit("")).rlike(FRAGMENT_ID) & (F.length(c) <= ID_LENGTH)
+        return F.when(~F.coalesce(wrong, F.lit(False)), F.concat(where, F.lit(" is not a valid id")))
+
+    def each(c: str, check) -> Column:
+        found = F.flatten(F.transform(F.coalesce(f"d.{c}", F.array().cast(rows.schema["d"].dataType[c].dataType)), lambda x, i: F.when(x.isNull(), F.array(F.concat(F.lit(f"{c}["), i, F.lit("] must be an object")))).otherwise(F.array(*check(x, F.concat(F.lit(f"{c}["), i, F.lit("]")))))))
+        return F.filter(found, lambda e: e.isNotNull())
+
+    kind = lambda x, at: F.when(x["file_type"].isNotNull() & ~x["file_type"].isin(*FILE_TYPES), F.concat(at, F.lit(".file_type is not one of "), F.lit(", ".join(sorted(FILE_TYPES)))))
+    members = lambda x, at: F.when(F.size(x["nodes"]) > HYPEREDGE_NODES, F.concat(at, F.lit(".nodes has "), F.size(x["nodes"]), F.lit(f" entries; max is {HYPEREDGE_NODES}"))).when(x["nodes"].isNull(), F.concat(at, F.lit(".nodes must be a list")))
+    errors = F.concat(
+        F.when(F.col("n") > FRAGMENT_BYTES, F.array(F.concat(F.lit("payload is "), "n", F.lit(f" bytes; max is {FRAGMENT_BYTES}")))).otherwise(none),
+        *[x for c, most in (("nodes", FRAGMENT_NODES), ("edges", FRAGMENT_EDGES), ("hyperedges", FRAGMENT_HYPEREDGES)) for x in (listed(c), many(c, most))],
+        each("nodes", lambda x, at: [bad_id(x["id"], F.concat(at, F.lit(".id"))), kind(x, at)]),
+        each("edges", lambda x, at: [bad_id(x["source"], F.concat(at, F.lit(".source"))), bad_id(x["target"], F.concat(at, F.lit(".target")))]),
+        each("hyperedges", lambda x, at: [bad_id(x["id"], F.concat(at, F.lit(".id"))), members(x, at), F.when(F.exists(x["nodes"], lambda m: ~F.coalesce(m.rlike(FRAGMENT_ID), F.lit(False))), F.concat(at, F.lit(".nodes holds an id that is not valid")))]),
+    )
+    return rows.select(key, F.explode(F.when(F.col("ok"), errors).otherwise(F.array(F.lit("fragment must be a JSON object")))).alias("error"))
+
+
 def sanitize_label(c: Column, most: int = 256) -> Column:
     return F.substring(F.regexp_replace(c, r"[\x00-\x1f\x7f]", ""), 1, most)
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from nodeloom.functions.jsontext import read_object_py
 from nodeloom.sources.files import bisect
@@ -46,3 +47,22 @@ def call_chunks(chunks: DataFrame, call: Callable[[str], str], depth: int = 3) -
             yield pd.DataFrame(rows, columns=["chunk_id", "part", "payload", "error"])
 
     return chunks.select("chunk_id", "text").mapInPandas(run, RESULT)
+
+
+def label_communities(samples: DataFrame, call: Callable[[list[tuple[int, list[str]]]], dict[int, str]], per_call: int = 100, most: int = 12) -> DataFrame:
+    """(community, label, error) of (community, rank, label): names for communities from their
+    first ``most`` labels, ``per_call`` communities a call. A community without an answer, or whose
+    call raises, is called by its number."""
+    lists = samples.where(F.col("rank") <= most).groupBy("community").agg(F.sort_array(F.collect_list(F.struct("rank", "label"))).alias("x")).select("community", F.col("x.label").alias("labels"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), per_call):
+                asked = [(int(c), list(x)) for c, x in zip(b.community[i : i + per_call], b.labels[i : i + per_call])]
+                try:
+                    got, problem = call(asked), None
+                except Exception as e:
+                    got, problem = {}, f"{type(e).__name__}: {e}"[:500]
+                yield pd.DataFrame([(c, str(got.get(c) or f"Community {c}"), problem) for c, _ in asked], columns=["community", "label", "error"])
+
+    return lists.mapInPandas(run, "community int, label string, error string")

@@ -12,6 +12,7 @@ from nodeloom.functions.text import cypher_escape, cypher_name, safe_filename, y
 from nodeloom.operators import analyze
 from nodeloom.operators.build import degrees
 from nodeloom.schema import Graph
+from nodeloom.session import version
 
 
 def _or(c: Column | str, fallback: str) -> Column:
@@ -116,3 +117,32 @@ def push(rows: DataFrame, send) -> None:
     """Hand ``rows`` to an external store: ``send(iterator of rows)`` once per partition. Partitions
     are retried, so statements must be idempotent (MERGE)."""
     rows.foreachPartition(send)
+
+
+def lessons_fresh(spark, out: str, inputs: list[str]) -> bool:
+    """Whether ``out`` is there and no older than any file under ``inputs``."""
+    def times(paths: list[str]) -> list[int]:
+        found = []
+        for p in paths:
+            try:
+                found += [t for _, _, t in version(spark, [p])]
+            except Exception:  # not there
+                continue
+        return found
+
+    made = times([out])
+    return bool(made) and min(made) >= max(times(inputs), default=0)
+
+
+def backup(spark, path: str, day: dt.date | None = None) -> str | None:
+    """Copy of the tables under ``path`` beside it, one a day, before they are overwritten; None if
+    there is nothing to keep. An existing copy of the day stays."""
+    where = f"{path.rstrip('/')}-{(day or dt.date.today()).isoformat()}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(where)
+    fs = source.getFileSystem(conf)
+    if not fs.exists(source):
+        return None
+    if not fs.exists(target):
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, target, False, conf)
+    return where

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nodeloom.functions.text import search_form
 from nodeloom.operators.build import EDGE_COLS, NODE_COLS, default_score
 from nodeloom.schema import Graph, suffix
+from nodeloom.session import version
 
 # Names under which producers store a field, the preferred one first.
 NODE_ALIASES = {
@@ -44,8 +45,20 @@ def normalize_edges(rows: DataFrame) -> DataFrame:
     return out.select("seq", "source", "target", F.lower(F.coalesce("relation", F.lit("relates"))).alias("relation"), F.upper(F.coalesce("confidence", F.lit("EXTRACTED"))).alias("confidence"), score.alias("confidence_score"))
 
 
-def read(spark: SparkSession, path: str, directed: bool = True) -> Graph:
+#: Size up to which a node-link document is read: one document is one task's work.
+MOST_BYTES = 512 << 20
+
+
+def check_size(spark: SparkSession, path: str, most: int = MOST_BYTES) -> None:
+    """Refuse a document that is larger than ``most`` before it is read."""
+    size = sum(n for _, n, _ in version(spark, [path]))
+    if size > most:
+        raise ValueError(f"graph file {path} is {size:_d} bytes, exceeds {most:_d}-byte cap")
+
+
+def read(spark: SparkSession, path: str, directed: bool = True, most: int = MOST_BYTES) -> Graph:
     """A node-link document (``links`` or ``edges``) as a graph; extra fields are left out."""
+    check_size(spark, path, most)
     doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "nodes array<map<string,string>>, links array<map<string,string>>, edges array<map<string,string>>").alias("d"))
     nodes = doc.select(F.posexplode("d.nodes").alias("pos", "a")).where("a['id'] IS NOT NULL")
     kinds = {"community": "int"}
