@@ -1,22 +1,28 @@
-"""Communities: modularity by parallel local moves, splitting, stable numbering.
-
-Each round scores, for every node, the communities of its neighbours (one aggregation by node and
-community) and moves the nodes of one hash parity to their best one, so two neighbours rarely swap
-places. Two rounds give every node its turn; they are repeated until that raises the modularity by
-less than ``LEAST_GAIN``, then communities become nodes and the next level starts, until a level
-gains less than that. Totals per community and the assignment are written between rounds. Results
-are deterministic.
+"""Communities: modularity by local moves, splitting, stable numbering.
+
+A graph of more than ``HELD`` links is moved in parallel: each round scores, for every node, the
+communities of its neighbours (one aggregation by node and community) and moves the nodes of one
+hash parity to their best one, so two neighbours rarely swap places. Two rounds give every node its
+turn; they are repeated until that raises the modularity by less than ``LEAST_GAIN``, then
+communities become nodes and the next level starts. Totals per community and the assignment are
+written between rounds. As soon as the links of a level fit, one task takes the level and those
+above it to the end, node by node. Both go on until no level gains ``LEAST_GAIN``; results are
+deterministic.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.operators.analyze import cohesion
 from nodeloom.operators.build import degrees
 from nodeloom.schema import Graph
-from nodeloom.session import materialize
+from nodeloom.session import materialize, numbered
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -25,8 +31,63 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(ends.alias("x"), "w").groupBy("x.a", "x.b").agg(F.sum("w").alias("w"))
 
 
-#: Rise of modularity from which another pass or level is made.
-LEAST_GAIN = 1e-4
+#: Rise of modularity from which another pass or level is made; links that one task may hold.
+LEAST_GAIN, HELD = 1e-4, 1_000_000
+
+
+def local_moves(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: float = 1.0, least: float = LEAST_GAIN) -> np.ndarray:
+    """Community of each node 0 to n - 1 of the links (a, b, w), both directions, a loop once with
+    twice its weight: nodes move one by one, in order, to the neighbouring community of the
+    highest gain; communities become nodes; until no level raises the modularity by ``least``."""
+    whole, m2 = np.arange(n), float(w.sum()) or 1.0
+    while True:
+        order = np.argsort(a, kind="stable")
+        a, b, w = a[order], b[order], w[order]
+        starts, near, weight = np.searchsorted(a, np.arange(n + 1)).tolist(), b.tolist(), w.tolist()
+        strength = np.bincount(a, w, n).tolist()
+        of, total, rise = list(range(n)), list(strength), 0.0
+        while True:
+            gained = 0.0
+            for i in range(n):
+                k, own, kin = strength[i], of[i], {}
+                for j in range(starts[i], starts[i + 1]):
+                    if near[j] != i:
+                        c = of[near[j]]
+                        kin[c] = kin.get(c, 0.0) + weight[j]
+                total[own] -= k
+                here = kin.get(own, 0.0) - resolution * k * total[own] / m2
+                best, top = own, here + 1e-12
+                for c in sorted(kin):
+                    gain = kin[c] - resolution * k * total[c] / m2
+                    if gain > top:
+                        best, top = c, gain
+                total[best] += k
+                of[i] = best
+                gained += 2 * (top - here) / m2 if best != own else 0.0
+            rise += gained
+            if gained < least:
+                break
+        names, of = np.unique(of, return_inverse=True)
+        whole = of[whole]
+        if rise < least or len(names) == n:
+            return whole
+        pair, at = np.unique(of[a].astype(np.int64) * len(names) + of[b], return_inverse=True)
+        a, b, w, n = pair // len(names), pair % len(names), np.bincount(at, w), len(names)
+
+
+def _in_one_task(links: DataFrame, resolution: float) -> DataFrame:
+    """(id, c) of links (a, b, w) that one task may hold; a community is named by its first node."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*parts, pd.DataFrame({"a": [], "b": [], "w": []})])
+        if len(rows):
+            ids, at = np.unique(rows["a"].to_numpy(str), return_inverse=True)
+            of = local_moves(at, np.searchsorted(ids, rows["b"].to_numpy(str)), rows["w"].to_numpy(float), len(ids), resolution)
+            first = np.full(of.max() + 1, len(ids))
+            np.minimum.at(first, of, np.arange(len(ids)))
+            yield pd.DataFrame({"id": ids, "c": ids[first[of]]})
+
+    return links.repartition(1).sortWithinPartitions("a", "b").mapInPandas(run, "id string, c string")
 
 
 def modularity(links: DataFrame, here: DataFrame, strength: DataFrame, m2: float, resolution: float = 1.0) -> float:
@@ -39,12 +100,15 @@ def modularity(links: DataFrame, here: DataFrame, strength: DataFrame, m2: float
 
 def partition(edges: DataFrame, rounds: int | None = None, levels: int | None = None, resolution: float = 1.0) -> DataFrame:
     """(id, c): community of every node of (u, v, w), named by one of its nodes. ``rounds`` and
-    ``levels``: at most that many, None: until the gain is too small."""
+    ``levels``: at most that many, all in parallel; None: until the gain is too small."""
     links = materialize(_both(edges), "links")
     m2 = links.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("m")).first()["m"] or 1.0
     whole = materialize(links.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")), "assignment")
     level, start = 0, None
     while levels is None or level < levels:
+        if rounds is None and levels is None and links.count() <= 2 * HELD:
+            rest = _in_one_task(links, resolution).select(F.col("id").alias("c"), F.col("c").alias("n"))
+            return materialize(whole.join(rest, "c").select("id", F.col("n").alias("c")), "assignment")
         strength = materialize(links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "strength")
         here = materialize(strength.select("id", F.col("id").alias("c")), "assignment")
         start = modularity(links, here, strength, m2, resolution) if start is None else start
@@ -81,11 +145,10 @@ def partition(edges: DataFrame, rounds: int | None = None, levels: int | None =
 
 
 def reindex(members: DataFrame, name: str = "c") -> DataFrame:
-    """(id, community): numbers by falling size, of equal sizes by the smallest member. One row
-    per community is ranked."""
+    """(id, community): numbers by falling size, of equal sizes by the smallest member."""
     sizes = members.groupBy(name).agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    numbered = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1)
-    return members.join(numbered.select(name, "community"), name).select("id", "community")
+    ranks = numbered(sizes, [F.desc("size"), F.col("first")], "community")
+    return members.join(ranks.select(name, F.col("community").cast("int").alias("community")), name).select("id", "community")
 
 
 def hubs(graph: Graph, percentile: float) -> DataFrame:
@@ -98,27 +161,36 @@ def hubs(graph: Graph, percentile: float) -> DataFrame:
     return degree.join(F.broadcast(limit)).where("degree > t").select("id")
 
 
-def attach_hubs(graph: Graph, members: DataFrame, hub_ids: DataFrame, most: int = 100_000) -> DataFrame:
+def attach_hubs(graph: Graph, members: DataFrame, hub_ids: DataFrame) -> DataFrame:
     """Adds the hubs to (id, c), in order of id, each to the commonest community among its
     neighbours, of equals the smallest; hubs placed before it count. The votes are aggregated on
-    the cluster; the sequential part sees one row per hub and community, at most ``most``."""
-    spark = graph.nodes.sparkSession
+    the cluster; the placing, in order by nature, is one task over a row per hub and community
+    and per pair of hubs."""
     pairs = _both(graph.edges.select("u", "v", F.lit(1.0).alias("w"))).where("a <> b").join(hub_ids.select(F.col("id").alias("a")), "a", "left_semi")
-    votes = pairs.join(members.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.count("*").alias("n")).limit(most + 1).collect()
-    between = pairs.join(hub_ids.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").limit(most + 1).collect()
-    if max(len(votes), len(between)) > most:
-        raise ValueError("too many hubs: raise the percentile")
-    tally: dict[str, dict[str, int]] = {r["id"]: {} for r in hub_ids.limit(most).collect()}
-    for r in votes:
-        tally[r["a"]][r["c"]] = r["n"]
-    placed: dict[str, str] = {}
-    for hub in sorted(tally):
-        mine = dict(tally[hub])
-        for r in between:
-            if r["a"] == hub and r["b"] in placed:
-                mine[placed[r["b"]]] = mine.get(placed[r["b"]], 0) + 1
-        placed[hub] = min(mine, key=lambda c: (-mine[c], c)) if mine else hub
-    return members.unionByName(spark.createDataFrame(list(placed.items()), "id string, c string"))
+    votes = pairs.join(members.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.count("*").alias("n")).select("a", "c", "n", F.lit(None).cast("string").alias("b"))
+    between = pairs.join(hub_ids.select(F.col("id").alias("b")), "b", "left_semi").select("a", F.lit(None).cast("string").alias("c"), F.lit(0).cast("long").alias("n"), "b")
+    alone = hub_ids.select(F.col("id").alias("a"), F.lit(None).cast("string").alias("c"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("b"))
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally: dict[str, dict[str, int]] = {}
+        near: dict[str, list[str]] = {}
+        for a, c, n, b in (r for p in parts for r in p.itertuples(index=False)):
+            mine = tally.setdefault(a, {})
+            if c is not None:
+                mine[c] = n
+            elif b is not None:
+                near.setdefault(a, []).append(b)
+        placed: dict[str, str] = {}
+        for hub in sorted(tally):
+            mine = tally[hub]
+            for b in near.get(hub, ()):
+                if b in placed:
+                    mine[placed[b]] = mine.get(placed[b], 0) + 1
+            placed[hub] = min(mine, key=lambda c: (-mine[c], c)) if mine else hub
+        yield pd.DataFrame(list(placed.items()), columns=["id", "c"])
+
+    rows = votes.unionByName(between).unionByName(alone).repartition(1)
+    return members.unionByName(rows.mapInPandas(place, "id string, c string"))
 
 
 def split(graph: Graph, members: DataFrame, chosen: DataFrame, rounds: int | None) -> DataFrame:
@@ -169,27 +241,30 @@ def overlaps(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.groupBy("old_id", "new_id").agg(F.count("*").alias("overlap"))
 
 
-def remap_to_previous(old: DataFrame, new: DataFrame, most: int = 5_000_000) -> DataFrame:
+def remap_to_previous(old: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` with communities renumbered after ``old``: pairs by falling overlap, each number
-    once; the others get the smallest free numbers, larger communities first. Greedy matching is
-    sequential: it sees one row per pair of overlapping communities, at most ``most``."""
-    spark = new.sparkSession
-    pairs = overlaps(old, new).limit(most + 1).collect()
-    if len(pairs) > most:
-        raise ValueError(f"more than {most} overlapping pairs")
-    final: dict[int, int] = {}
-    used: set[int] = set()
-    for r in sorted(pairs, key=lambda r: (-r["overlap"], r["old_id"], r["new_id"])):
-        if r["new_id"] not in final and r["old_id"] not in used:
-            final[r["new_id"]] = r["old_id"]
-            used.add(r["old_id"])
-    rest = new.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("first")).orderBy(F.desc("n"), "first").limit(most).collect()
-    free = 0
-    for r in rest:
-        if r["community"] not in final:
-            while free in used:
-                free += 1
-            final[r["community"]] = free
-            used.add(free)
-    table = spark.createDataFrame([(int(a), int(b)) for a, b in final.items()], "community long, _final long")
+    once; the others get the smallest free numbers, larger communities first. The greedy matching,
+    in order by nature, is one task over a row per pair of overlapping communities and per
+    community; nodes only meet its result in a join."""
+    pairs = overlaps(old, new).select(F.col("old_id").cast("long"), F.col("new_id").cast("long"), F.col("overlap").alias("n"), F.lit(None).cast("string").alias("first"))
+    sizes = new.groupBy(F.col("community").cast("long").alias("new_id")).agg(F.count("*").alias("n"), F.min("id").alias("first")).select(F.lit(None).cast("long").alias("old_id"), "new_id", "n", "first")
+
+    def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for p in parts for r in p.itertuples(index=False)]
+        final: dict[int, int] = {}
+        used: set[int] = set()
+        for r in sorted((r for r in rows if r.first is None), key=lambda r: (-r.n, r.old_id, r.new_id)):
+            if r.new_id not in final and r.old_id not in used:
+                final[r.new_id] = int(r.old_id)
+                used.add(int(r.old_id))
+        free = 0
+        for r in sorted((r for r in rows if r.first is not None), key=lambda r: (-r.n, r.first)):
+            if r.new_id not in final:
+                while free in used:
+                    free += 1
+                final[r.new_id] = free
+                used.add(free)
+        yield pd.DataFrame(list(final.items()), columns=["community", "_final"])
+
+    table = pairs.unionByName(sizes).repartition(1).mapInPandas(match, "community long, _final long")
     return new.join(table, "community").select("id", F.col("_final").alias("community"))

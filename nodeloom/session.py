@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Hash buckets in which hot keys are looked for; bounds what :func:`hot_buckets` collects.
@@ -111,6 +111,20 @@ def stored(spark: SparkSession, name: str, paths: list[str], make):
     return _kept[key]
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds ``name``: the position of each row in ``order`` (a total one), from 0. Rows are range
+    partitioned and stored, numbered within their part, and offset by the sizes of the parts
+    before: no task sees all rows."""
+    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}  # a row per task
+    at, before = {}, 0
+    for part in sorted(sizes):
+        at[part], before = before, before + sizes[part]
+    offset = F.create_map(*[F.lit(x) for kv in at.items() for x in kv])[F.col("_part")] if at else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + offset
+    return parts.withColumn(name, place.cast("long")).drop("_part")
+
+
 def scan_units(df: DataFrame) -> int:
     """How many tasks a scan of ``df``'s files can really use: row groups, not byte splits.
 

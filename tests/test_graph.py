@@ -224,14 +224,41 @@ def test_components_equal_union_find(spark):
 def test_clusters_cover_all_nodes_and_find_cliques(spark):
     clique = lambda p: [(f"{p}{i}", f"{p}{j}") for i in range(5) for j in range(i)]
     g = simple(spark, clique("a") + clique("b") + [("a0", "b0")], isolated=["z"])
-    rows = community.cluster(g, rounds=6, levels=2, least_split=20).collect()
+    rows = community.cluster(g, least_split=20).collect()
     of = {r.id: r.community for r in rows}
     assert len(rows) == 11 and set(of.values()) == set(range(len(set(of.values()))))
     assert len({of[f"a{i}"] for i in range(5)}) == 1 and len({of[f"b{i}"] for i in range(5)}) == 1 and of["a1"] != of["b1"] != of["z"]
-    again = {r.id: r.community for r in community.cluster(g, rounds=6, levels=2, least_split=20).collect()}
+    again = {r.id: r.community for r in community.cluster(g, least_split=20).collect()}
     assert again == of
-    hubbed = {r.id: r.community for r in community.cluster(g, rounds=6, hub_percentile=80, least_split=20).collect()}
-    assert set(hubbed) == set(of)
+    hubbed = {r.id: r.community for r in community.cluster(g, hub_percentile=80, least_split=20).collect()}
+    assert hubbed == of
+
+
+def test_partition_to_the_end(spark, sf, monkeypatch):
+    """Modularity within 0.02 of moving node by node, in one task and in parallel."""
+    from nodeloom.plans import view
+
+    edges = view.simple(spark, sf).edges.where("u <> v").select("u", "v", F.lit(1.0).alias("w"))
+    links = community._both(edges).cache()
+    m2 = links.agg(F.sum("w")).first()[0]
+    strength = links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
+    score = lambda p: community.modularity(links, p, strength, m2)
+    one = score(community.partition(edges))
+    assert one >= 0.31
+    clique = lambda p: [(f"{p}{i}", f"{p}{j}", 1.0) for i in range(5) for j in range(i)]
+    ring = [(f"{x}0", f"{y}1", 1.0) for x, y in zip("abcd", "bcda")]
+    few = spark.createDataFrame([e for p in "abcd" for e in clique(p)] + ring, "u string, v string, w double")
+    held = {r.id: r.c for r in community.partition(few).collect()}
+    monkeypatch.setattr(community, "HELD", 8)  # the first level in parallel
+    assert {r.id: r.c[0] for r in community.partition(few).collect()} == {k: c[0] for k, c in held.items()} == {k: k[0] for k in held}
+
+
+def test_numbered(spark):
+    from nodeloom.session import numbered
+
+    rows = numbered(spark.range(1000).selectExpr("id % 7 AS k", "id"), [F.desc("k"), F.col("id")], "n").collect()
+    assert [(r.k, r.id) for r in sorted(rows, key=lambda r: r.n)] == sorted(((i % 7, i) for i in range(1000)), key=lambda x: (-x[0], x[1]))
+    assert sorted(r.n for r in rows) == list(range(1000)) and numbered(spark.range(0), [F.col("id")], "n").collect() == []
 
 
 def test_remap_keeps_old_numbers(spark):
