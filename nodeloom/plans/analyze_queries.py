@@ -144,7 +144,7 @@ def _(s, d):
     "g15_import_cycles",
     sql(
         f"""{_FILES},
-p(s, l, path) AS (SELECT a, b, [a, b] FROM i2 WHERE a < b UNION ALL SELECT s, b, list_append(path, b) FROM p JOIN i2 ON i2.a = l WHERE b > s AND NOT list_contains(path, b) AND len(path) < 4)
+p(s, l, path) AS (SELECT a, b, [a, b] FROM i2 WHERE a < b UNION ALL SELECT s, b, list_append(path, b) FROM p JOIN i2 ON i2.a = l WHERE b > s AND NOT list_contains(path, b) AND len(path) < 5)
 SELECT array_to_string([a], ' > ') AS cycle, 1 AS length FROM i2 WHERE a = b UNION ALL SELECT array_to_string(path, ' > '), len(path)::INT FROM p JOIN i2 ON i2.a = l AND i2.b = s""",
         "g",
         recursive=True,

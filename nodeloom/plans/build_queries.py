@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from nodeloom.operators import build
@@ -117,14 +119,18 @@ def _(s, d):
     return build.dedupe_edges(raw_edges(s, d)).select("seq", "source", "target", "relation", "confidence", "context")
 
 
-_LABEL = r"trim(regexp_replace(lower(coalesce(label, id)), '[^\p{L}\p{N}]+', ' ', 'g'))"
+_COMPAT = [c for c in map(chr, [*range(0xA0, 0x100), *range(0x2000, 0x2070), 0x212A, 0x3000, *range(0xFF01, 0xFFA0)]) if len(unicodedata.normalize("NFKC", c)) == 1 and unicodedata.normalize("NFKC", c) != c]
+_PLAIN = "".join(unicodedata.normalize("NFKC", c) for c in _COMPAT).replace("'", "''")
+_LABEL = f"translate(coalesce(label, id), '{''.join(_COMPAT)}', '{_PLAIN}')"
+for _a, _b in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("…", "..."), ("ß", "ss")):
+    _LABEL = f"replace({_LABEL}, '{_a}', '{_b}')"
+_LABEL = rf"trim(regexp_replace(replace(lower(nfc_normalize({_LABEL})), 'ς', 'σ'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
 @query(
     "b11_merge_by_label",
     sql(
-        rf"""a AS (SELECT * FROM n WHERE regexp_full_match(coalesce(label, id), '[\x20-\x7e]*')),
-k AS (SELECT *, {_LABEL} AS k FROM a), w AS (SELECT k, arg_min(id, (regexp_matches(id, '_c[0-9]+$')::INT * 1000000000000::HUGEINT + length(id) * 1000000000 + seq)) AS new FROM k WHERE k <> '' GROUP BY k)
+        rf"""k AS (SELECT *, {_LABEL} AS k FROM n), w AS (SELECT k, arg_min(id, (regexp_matches(id, '_c[0-9]+$')::INT * 1000000000000::HUGEINT + length(id) * 1000000000 + seq)) AS new FROM k WHERE k <> '' GROUP BY k)
 SELECT k.id AS old, w.new FROM k JOIN w ON w.k = k.k WHERE k.id <> w.new""",
         "n",
     ),
