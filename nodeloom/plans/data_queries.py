@@ -570,3 +570,14 @@ SQL["k05_graphml"] = sql(
     "g",
 )
 SQL["s04_shebang"] = "SELECT path, CASE WHEN text LIKE '#!%' THEN regexp_extract(split_part(trim(split_part(substr(text, 3), chr(10), 1)), ' ', 1), '[^/]*$', 0) END AS interpreter FROM source_files"
+_FILE = f"v AS (SELECT path, path AS p, {_STEM.replace('(p,', '(path,')} AS st FROM source_files WHERE path IS NOT NULL)"
+_SECRET = " OR ".join(f"regexp_matches(regexp_extract(p, '[^/]*$', 0), '{p}')" for p in files.SECRET_NAMES)
+SQL["s05_sensitive_files"] = f"WITH {_FILE} SELECT path, list_bool_or(list_transform(string_split(p, '/')[1:-2], lambda x: x IN ({_in(files.SECRET_DIRS)}))) OR {_SECRET} OR {_KW} AS sensitive FROM v"
+SQL["s06_keyword_hit_files"] = f"WITH {_FILE} SELECT path, {_KW} AS hit FROM v"
+_VERDICT = (
+    "CASE WHEN regexp_full_match({x}, '.*\\.(rst|RST)(/.*)?') OR regexp_full_match({x}, 'docs/reports/.*\\.md') THEN true WHEN regexp_full_match({x}, 'docs/notes/reader_.*(/.*)?') THEN false "
+    "WHEN regexp_full_match({x}, 'docs/.*/reader_.*(/.*)?') THEN true ELSE regexp_full_match({x}, '(.*/)?attic(/.*)?') END"
+)
+_LEADS = "list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))"
+SQL["s07_ignored"] = f"SELECT path, list_bool_or(list_transform({_LEADS}, lambda x: {_VERDICT.format(x='x')})) AS ignored FROM source_files"
+SQL["s09_included"] = "SELECT path, regexp_full_match(path, 'docs/.*') OR regexp_full_match(path, 'attic/.*\\.txt') AS included FROM source_files"
