@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.operators.build import degrees
 from nodeloom.schema import ANALYSIS_FAMILIES, STRUCTURAL_RELATIONS, Graph, basename, lookup, mapped, suffix
+from nodeloom.session import materialize
 
 # Labels that are no abstractions of a project.
 BUILTIN_LABELS = (
@@ -177,19 +178,27 @@ def import_edges(graph: Graph) -> DataFrame:
 def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     """(cycle, length): simple cycles of up to ``longest`` files, each once, from its smallest file.
 
-    Paths start at their smallest file and only visit larger ones, so every cycle is found once.
-    Files that can't be on one (without an import in or out) are first taken away, as often as a
-    path may be long; that keeps the joins to the cyclic core."""
+    Paths start at their smallest file and only visit larger ones, so every cycle is found once:
+    a way out of half its length meets a way back of the other half at their common end, so paths
+    of three imports are the longest that are enumerated. Files without an import in or out can't
+    be on a cycle and are taken away first, twice."""
     core = edges.where("a <> b")
     for _ in range(2):
         core = core.join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(core.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+    core = materialize(core, "core")
+    step, back = core.select(F.col("a").alias("last"), F.col("b").alias("next")), core.select(F.col("b").alias("last"), F.col("a").alias("next"))
+    ahead = [core.where("a < b").select(F.col("a").alias("start"), F.col("b").alias("last"), F.array("b").alias("path"))]
+    home = [core.where("b < a").select(F.col("b").alias("start"), F.col("a").alias("last"), F.array("a").alias("way"))]
+    for ways, name, links in ((ahead, "path", step), (home, "way", back)):
+        while len(ways) < (longest + (name == "path")) // 2:
+            longer = ways[-1].join(links, "last").where(f"next > start AND NOT array_contains({name}, next)")
+            more = F.array_append(name, F.col("next")) if name == "path" else F.array_prepend(name, F.col("next"))
+            ways.append(materialize(longer.select("start", F.col("next").alias("last"), more.alias(name)), "paths"))
     found = [edges.where("a = b").select(F.array("a").alias("cycle"))]
-    paths = core.where("a < b").select(F.col("a").alias("start"), F.col("b").alias("last"), F.array("a", "b").alias("path"))
-    step = core.select(F.col("a").alias("last"), F.col("b").alias("next"))
     for length in range(2, longest + 1):
-        found.append(paths.join(step, "last").where("next = start").select(F.col("path").alias("cycle")))
-        if length < longest:
-            paths = paths.join(step, "last").where("next > start AND NOT array_contains(path, next)").select("start", F.col("next").alias("last"), F.array_append("path", F.col("next")).alias("path"))
+        out, rest = (length + 1) // 2, length // 2
+        meet = ahead[out - 1].join(home[rest - 1], ["start", "last"]).withColumn("rest", F.slice("way", 2, F.size("way")))
+        found.append(meet.where("NOT arrays_overlap(path, rest)").select(F.concat(F.array("start"), "path", "rest").alias("cycle")))
     return reduce(DataFrame.unionByName, found).select("cycle", F.size("cycle").alias("length"))
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.operators.build import prune_dangling
 from nodeloom.schema import Graph, suffix
+from nodeloom.session import numbered
 from nodeloom.sources.files import body
 
 
@@ -106,8 +107,5 @@ def merge_paths(parts: list[DataFrame]) -> DataFrame:
     """(path, ord): union in order, each path at its first place. Parts: (path, ord)."""
     rows = reduce(DataFrame.unionByName, [p.select("path", F.struct(F.lit(i).alias("p"), F.col("ord").alias("o")).alias("k")) for i, p in enumerate(parts)])
     first = rows.where("path <> ''").groupBy("path").agg(F.min("k").alias("k"))
-    # positions by part, then order: parts are numbered, so each is ranked on its own
-    inside = first.withColumn("r", F.row_number().over(Window.partitionBy("k.p").orderBy("k.o", "path")))
-    sizes = first.groupBy(F.col("k.p").alias("p")).agg(F.count("*").alias("n"))
-    before = sizes.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    return inside.join(F.broadcast(before), F.col("k.p") == F.col("p")).select("path", (F.col("b") + F.col("r") - 1).alias("ord"))
+    first = first.select("path", F.col("k.p").alias("p"), F.col("k.o").alias("o"))
+    return numbered(first, [F.col("p"), F.col("o"), F.col("path")], "ord").select("path", "ord")

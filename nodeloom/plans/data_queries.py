@@ -55,9 +55,11 @@ def _(s, d):
     return files.corpus_size(_src(s, d).select(tx.word_count(F.col("text")).alias("words")))
 
 
-@query("s02_classify", f"SELECT node_seq, {_TYPE.replace(_HEAD, '(chr(32))')} AS file_type FROM (SELECT node_seq, source_file AS path, '' AS text FROM graph_nodes WHERE source_file LIKE '%.%')")
+@query("s02_classify", f"SELECT k AS path, CASE WHEN {_SUF} = '' AND {_NAME} NOT IN ({_in(files.MANIFESTS)}) THEN CASE WHEN text LIKE '#!/usr/bin/env python3%' THEN 'code' END ELSE {_TYPE} END AS file_type FROM (SELECT path AS k, CASE WHEN n_chars % 3 = 0 THEN regexp_replace(path, '\\.[^./]*$', '') ELSE path END AS path, CASE WHEN n_chars % 6 = 0 THEN '#!/usr/bin/env python3' || chr(10) || text ELSE text END AS text FROM source_files WHERE path IS NOT NULL)")
 def _(s, d):
-    return raw_nodes(s, d).where("source_file LIKE '%.%'").select(F.col("seq").alias("node_seq"), files.file_type(F.col("source_file"), F.lit("")).alias("file_type"))
+    bare, script = F.regexp_replace("path", r"\.[^./]*$", ""), F.concat(F.lit("#!/usr/bin/env python3\n"), "text")
+    rows = _src(s, d).where("path IS NOT NULL").select("path", F.when(F.col("n_chars") % 3 == 0, bare).otherwise(F.col("path")).alias("p"), F.when(F.col("n_chars") % 6 == 0, script).otherwise(F.col("text")).alias("t"))
+    return rows.select("path", files.file_type(F.col("p"), F.col("t")).alias("file_type"))
 
 
 @query("s03_paper_signals", f"SELECT doc_id, ({_SIGNALS}) AS signals FROM documents")
