@@ -179,7 +179,7 @@ m AS (SELECT b.id AS old, new FROM b JOIN there USING (label) WHERE b.source_fil
 nodes AS (SELECT id FROM a UNION ALL SELECT id FROM b WHERE id NOT IN (SELECT old FROM m)),
 eb AS (SELECT seq, 'B::' || source AS source, 'B::' || target AS target FROM e WHERE seq % 2 = 0),
 er2 AS (SELECT seq, coalesce(ms.new, source) AS source, coalesce(mt.new, target) AS target FROM eb LEFT JOIN m ms ON ms.old = source LEFT JOIN m mt ON mt.old = target)
-SELECT 'node' AS kind, id AS a, NULL::VARCHAR AS b FROM nodes UNION ALL SELECT 'edge', source, target FROM er2 WHERE source <> target""",
+SELECT 'node' AS kind, id AS a, NULL::VARCHAR AS b FROM nodes UNION ALL SELECT 'edge', source, target FROM er2 WHERE source <> target UNION ALL SELECT 'edge', 'A::' || source, 'A::' || target FROM e WHERE seq % 2 = 1""",
         "e",
     ),
 )
@@ -187,7 +187,7 @@ def _(s, d):
     g = graph(s, d)
     n = g.nodes.withColumn("source_file", F.when(~F.col("file_type").isin("concept", "image"), F.col("source_file")))
     pre = lambda df, p, *cols: df.withColumns({c: F.concat(F.lit(p), F.col(c)) for c in cols})
-    base = g.with_(nodes=pre(n.where("repo = 'amber-graph'"), "A::", "id"), edges=g.edges.limit(0))
+    base = g.with_(nodes=pre(n.where("repo = 'amber-graph'"), "A::", "id"), edges=pre(g.edges.where("seq % 2 = 1"), "A::", "source", "target"))
     new = g.with_(nodes=pre(n.where("repo <> 'amber-graph'"), "B::", "id"), edges=pre(g.edges.where("seq % 2 = 0"), "B::", "source", "target"))
     out = build.merge_external(base, new)
     nodes = out.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))
@@ -204,21 +204,28 @@ x AS (SELECT seq, part, id, attr, json_extract_string(p, '$."' || attr || '"') A
 l AS (SELECT id, attr, value FROM (SELECT *, row_number() OVER (PARTITION BY id, attr ORDER BY part DESC, seq DESC) AS rn FROM x) WHERE rn = 1)"""
 
 
+def _composed(s, d):
+    from nodeloom.schema import Graph
+
+    rows, edges = records(s, d).withColumn("id", F.col("attrs")["id"]).where("id IS NOT NULL").select("seq", "id", "attrs", "chunk_no"), raw_edges(s, d)
+    return build.compose([Graph(rows.where(f"chunk_no % 2 = {i}").drop("chunk_no"), edges.where(f"seq % 2 = {i}")) for i in (0, 1)])
+
+
 @query("b18_compose", sql(_KV + " SELECT id, count(*) AS attrs, max(value) FILTER (attr = 'label') AS label, max(value) FILTER (attr = 'source_file') AS source_file FROM l GROUP BY id", "r"))
 def _(s, d):
-    from nodeloom.schema import Graph
+    return _composed(s, d)[0].select("id", F.size("attrs").alias("attrs"), F.col("attrs")["label"].alias("label"), F.col("attrs")["source_file"].alias("source_file"))
+
 
-    rows = records(s, d).withColumn("id", F.col("attrs")["id"]).where("id IS NOT NULL").select("seq", "id", "attrs", "chunk_no")
-    edges = raw_edges(s, d).limit(0)
-    parts = [Graph(rows.where(f"chunk_no % 2 = {i}").drop("chunk_no"), edges) for i in (0, 1)]
-    return build.compose(parts)[0].select("id", F.size("attrs").alias("attrs"), F.col("attrs")["label"].alias("label"), F.col("attrs")["source_file"].alias("source_file"))
+@query("b18_composed_edges", SQL["b10_dedupe_edges"])
+def _(s, d):
+    return _composed(s, d)[1].select("seq", "source", "target", "relation", "confidence", "context")
 
 
-@query("b19_merge_graphs", sql("SELECT repo || '::' || id AS id, label FROM n WHERE repo IN ('amber-graph', 'basalt-graph')", "n"))
+@query("b19_merge_graphs", sql("SELECT 'node' AS kind, repo || '::' || id AS a, label AS b FROM n UNION ALL SELECT 'edge', s.repo || '::' || source, t.repo || '::' || target FROM e JOIN n s ON s.id = source JOIN n t ON t.id = target", "e"))
 def _(s, d):
-    g = graph(s, d)
-    parts = [build.prefixed(g.with_(nodes=g.nodes.where(F.col("repo") == r))) for r in ("amber-graph", "basalt-graph")]
-    return parts[0].nodes.unionByName(parts[1].nodes).select("id", "label")
+    """Several repositories as one graph: every node and edge under its repo's prefix."""
+    g = build.prefixed(graph(s, d))
+    return g.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b")).unionByName(g.edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")))
 
 
 @query(

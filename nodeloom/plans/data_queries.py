@@ -340,7 +340,8 @@ def _rebuilt(s, d):
     ch = n.where("seq % 4 = 0 AND source_file <> ''").select(F.col("source_file").alias("path")).distinct()
     dl = n.where("seq % 17 = 1 AND source_file <> ''").select(F.col("source_file").alias("path")).distinct()
     new = n.join(ch.withColumnRenamed("path", "source_file"), "source_file", "left_semi").where("seq % 3 <> 0").select(n.columns)
-    return g, incremental.rebuild(g, g.with_(nodes=new, edges=g.edges.limit(0)), ch, dl), ch.unionByName(dl)
+    again = g.edges.join(ch.withColumnRenamed("path", "source_file"), "source_file", "left_semi").where("seq % 5 <> 0").select(g.edges.columns)
+    return g, incremental.rebuild(g, g.with_(nodes=new, edges=again), ch, dl), ch.unionByName(dl)
 
 
 @query("i10_rebuilt_nodes", sql(f"{_RB} SELECT id, source_file FROM nn", "n"))
@@ -348,7 +349,7 @@ def _(s, d):
     return _rebuilt(s, d)[1].nodes.select("id", "source_file")
 
 
-@query("i10_rebuilt_edges", sql(f"{_RB} SELECT seq FROM e WHERE (source_file IS NULL OR source_file NOT IN (SELECT path FROM gone)) AND source IN (SELECT id FROM nn) AND target IN (SELECT id FROM nn)", "e"))
+@query("i10_rebuilt_edges", sql(f"{_RB} SELECT seq FROM e WHERE (source_file IS NULL OR source_file NOT IN (SELECT path FROM gone) OR (source_file IN (SELECT path FROM ch) AND seq % 5 <> 0)) AND source IN (SELECT id FROM nn) AND target IN (SELECT id FROM nn)", "e"))
 def _(s, d):
     return _rebuilt(s, d)[1].edges.select("seq")
 
