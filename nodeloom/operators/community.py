@@ -32,7 +32,7 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 #: Rise of modularity from which another pass or level is made; links that one task may hold.
-LEAST_GAIN, HELD = 1e-4, 1_000_000
+LEAST_GAIN, HELD = 1e-4, 3_000_000
 
 
 def local_moves(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: float = 1.0, least: float = LEAST_GAIN) -> np.ndarray:
@@ -76,18 +76,25 @@ def local_moves(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution:
 
 
 def _in_one_task(links: DataFrame, resolution: float) -> DataFrame:
-    """(id, c) of links (a, b, w) that one task may hold; a community is named by its first node."""
+    """(id, c) of links (a, b, w) that one task may hold, sent to it as numbers; a community is
+    named by its first node."""
+    ids = materialize(numbered(links.select(F.col("a").alias("id")).distinct(), [F.col("id")], "i"), "ids")
+    of = lambda end, i: ids.select(F.col("id").alias(end), F.col("i").cast("int").alias(i))
+    half = links.where("a <= b").join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y", "w")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*parts, pd.DataFrame({"a": [], "b": [], "w": []})])
-        if len(rows):
-            ids, at = np.unique(rows["a"].to_numpy(str), return_inverse=True)
-            of = local_moves(at, np.searchsorted(ids, rows["b"].to_numpy(str)), rows["w"].to_numpy(float), len(ids), resolution)
-            first = np.full(of.max() + 1, len(ids))
-            np.minimum.at(first, of, np.arange(len(ids)))
-            yield pd.DataFrame({"id": ids, "c": ids[first[of]]})
-
-    return links.repartition(1).sortWithinPartitions("a", "b").mapInPandas(run, "id string, c string")
+        x, y, w = (np.concatenate(c) for c in zip(*[[p[k].to_numpy() for k in "xyw"] for p in parts] or [[np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)]]))
+        if len(x):
+            order = np.lexsort((y, x))
+            x, y, w = x[order], y[order], w[order]
+            other, n = x != y, int(max(x.max(), y.max())) + 1
+            of = local_moves(np.concatenate([x, y[other]]), np.concatenate([y, x[other]]), np.concatenate([w, w[other]]), n, resolution)
+            first = np.full(of.max() + 1, n)
+            np.minimum.at(first, of, np.arange(n))
+            yield pd.DataFrame({"i": np.arange(n), "k": first[of]})
+
+    moved = materialize(half.repartition(1).mapInPandas(run, "i long, k long"), "moved")
+    return ids.join(moved, "i").join(ids.select(F.col("i").alias("k"), F.col("id").alias("c")), "k").select("id", "c")
 
 
 def modularity(links: DataFrame, here: DataFrame, strength: DataFrame, m2: float, resolution: float = 1.0) -> float:

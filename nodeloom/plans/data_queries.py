@@ -584,3 +584,26 @@ _VERDICT = (
 _LEADS = "list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))"
 SQL["s07_ignored"] = f"SELECT path, list_bool_or(list_transform({_LEADS}, lambda x: {_VERDICT.format(x='x')})) AS ignored FROM source_files"
 SQL["s09_included"] = "SELECT path, regexp_full_match(path, 'docs/.*') OR regexp_full_match(path, 'attic/.*\\.txt') AS included FROM source_files"
+
+
+def _field(name: str, c: str, text: bool = True) -> str:
+    return f"'\"{name}\":' || {f'to_json({c})::VARCHAR' if text else f'{c}::VARCHAR'}"
+
+
+_SCORE_SQL = "coalesce(confidence_score, CASE confidence WHEN 'EXTRACTED' THEN 1.0::DOUBLE WHEN 'INFERRED' THEN 0.5 WHEN 'AMBIGUOUS' THEN 0.2 ELSE 1.0 END)"
+SQL["k01_json_edges"] = sql(
+    "SELECT seq, '{' || concat_ws(',', " + ", ".join([_field("source", "source"), _field("target", "target"), _field("relation", "relation"), _field("confidence", "confidence"), _field("confidence_score", _SCORE_SQL, False), _field("context", "context"), _field("source_file", "source_file"), _field("weight", "weight", False)]) + ") || '}' AS json FROM g", "g"
+)
+
+
+def _cut(text: str, start: str, most: int = 2000) -> str:
+    """SQL of where files.slice_points ends the slice that begins at ``start``."""
+    w = f"substr({text}, ({start}) + 1, {most})"
+    led = lambda p: f"length(regexp_extract({w}, '(?s)^(.*{p})', 1))"
+    heading = f"length(regexp_extract({w}, '(?s)^(.*\\n)#', 1))"
+    return f"CASE WHEN length({text}) - ({start}) <= {most} THEN length({text}) WHEN {heading} >= 2 THEN ({start}) + {heading} WHEN {led(chr(92) + 'n' + chr(92) + 'n')} >= 3 THEN ({start}) + {led(chr(92) + 'n' + chr(92) + 'n')} WHEN {led(chr(92) + 'n')} >= 2 THEN ({start}) + {led(chr(92) + 'n')} ELSE ({start}) + {most} END"
+
+
+SQL["s42_slices"] = f"""WITH RECURSIVE p(path, text, a, z, k) AS (SELECT path, text, 0::BIGINT, ({_cut('text', '0')})::BIGINT, 0 FROM source_files WHERE text IS NOT NULL
+UNION ALL SELECT path, text, z, ({_cut('text', 'z')})::BIGINT, k + 1 FROM p WHERE z < length(text))
+SELECT path, a AS start_pos, z AS end_pos, k::INT AS slice_no, (count(*) OVER (PARTITION BY path))::INT AS slice_total FROM p"""
