@@ -192,20 +192,52 @@ def symbol_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, found.select(F.col("ref.id").alias("source"), "target", F.col("ref.relation").alias("relation"), F.col("ref.doc").alias("source_file")).distinct()
 
 
-def catalog_graph(tables: DataFrame, foreign_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: What a view's or routine's text reads: names behind FROM and JOIN, comments and strings taken out.
+_READS = r"(?i)\b(?:from|join)\s+((?:\"[^\"]+\"|\w+)(?:\.(?:\"[^\"]+\"|\w+))?)"
+
+
+def catalog_graph(tables: DataFrame, foreign_keys: DataFrame, views: DataFrame | None = None, routines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of database catalog rows: tables (schema, name, type), foreign keys
-    (constraint, schema, table, foreign_schema, foreign_table)."""
+    (constraint, schema, table, foreign_schema, foreign_table), views (schema, name, definition),
+    routines (schema, name, type, definition, language).
+
+    Views and routines read the tables and views that their text names, with or without a schema
+    (their own first, then the only one that has the name); without a text they read nothing."""
     nid = lambda s, t: make_id(F.col(s), F.col(t))
-    nodes = tables.select(nid("schema", "name").alias("id"), F.concat("schema", F.lit("."), "name").alias("label"), F.lower("type").alias("kind"))
+    node = lambda df, kind, mark="": df.select(nid("schema", "name").alias("id"), F.concat("schema", F.lit("."), "name", F.lit(mark)).alias("label"), kind.alias("kind"))
+    nodes = node(tables, F.lower("type"))
     edges = foreign_keys.select(nid("schema", "table").alias("source"), nid("foreign_schema", "foreign_table").alias("target"), F.lit("references").alias("relation"), F.col("constraint").alias("context"))
+    readers = [df.select("schema", "name", "definition") for df in (views, routines) if df is not None]
+    if views is not None:
+        nodes = nodes.unionByName(node(views, F.lit("view")))
+    known = nodes.where("kind <> 'routine'").select("id").distinct()
+    named = tables.select("schema", "name") if views is None else tables.select("schema", "name").unionByName(views.select("schema", "name"))
+    if routines is not None:
+        nodes = nodes.unionByName(node(routines.where("type IN ('FUNCTION', 'PROCEDURE')"), F.lower("type"), "()"))
+    for df in readers:
+        text = F.regexp_replace(F.coalesce("definition", F.lit("")), r"(?s)--[^\n]*|/\*.*?\*/|'[^']*'", " ")
+        reads = df.select("schema", nid("schema", "name").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_READS), 1))).alias("ref"))
+        parts = F.split(F.replace("ref", F.lit('"')), r"\.")
+        reads = reads.select("source", "schema", F.when(F.size(parts) > 1, parts[0]).alias("given"), F.element_at(parts, -1).alias("name"))
+        only = named.distinct().groupBy(F.lower("name").alias("low")).agg(F.count("*").alias("n"), F.min("schema").alias("other"))
+        own = make_id(F.coalesce("given", "schema"), F.col("name"))
+        rows = reads.withColumn("own", own).join(known.withColumnsRenamed({"id": "own"}).withColumn("there", F.lit(True)), "own", "left").join(only, F.lower("name") == F.col("low"), "left")
+        target = F.when(F.col("there"), F.col("own")).when(F.col("given").isNull() & (F.col("n") == 1), make_id(F.col("other"), F.col("name")))
+        rows = rows.select("source", target.alias("target"), F.lit("reads_from").alias("relation"), F.lit(None).cast("string").alias("context"))
+        edges = edges.unionByName(rows.where("target IS NOT NULL AND source <> target"))
     return nodes, edges.distinct()
 
 
-def read_catalog(spark: SparkSession, url: str, **options: str) -> tuple[DataFrame, DataFrame]:
-    """Catalog rows of a database over JDBC, for :func:`catalog_graph`; needs its driver."""
+def read_catalog(spark: SparkSession, url: str, **options: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Catalog rows of a database over JDBC, in the order of :func:`catalog_graph`'s arguments;
+    needs its driver."""
     reader = spark.read.format("jdbc").option("url", url)
     for k, v in options.items():
         reader = reader.option(k, v)
-    tables = reader.option("query", "SELECT table_schema AS schema, table_name AS name, table_type AS type FROM information_schema.tables WHERE table_schema NOT IN ('pg_catalog', 'information_schema')").load()
-    keys = reader.option("query", "SELECT c.constraint_name AS constraint, c.table_schema AS schema, c.table_name AS table, u.table_schema AS foreign_schema, u.table_name AS foreign_table FROM information_schema.table_constraints c JOIN information_schema.constraint_column_usage u ON u.constraint_name = c.constraint_name WHERE c.constraint_type = 'FOREIGN KEY'").load()
-    return tables, keys
+    load = lambda query: reader.option("query", query).load()
+    user = "NOT IN ('pg_catalog', 'information_schema')"
+    tables = load(f"SELECT table_schema AS schema, table_name AS name, table_type AS type FROM information_schema.tables WHERE table_type <> 'VIEW' AND table_schema {user}")
+    keys = load("SELECT c.constraint_name AS constraint, c.table_schema AS schema, c.table_name AS table, u.table_schema AS foreign_schema, u.table_name AS foreign_table FROM information_schema.table_constraints c JOIN information_schema.constraint_column_usage u ON u.constraint_name = c.constraint_name WHERE c.constraint_type = 'FOREIGN KEY'")
+    views = load(f"SELECT table_schema AS schema, table_name AS name, view_definition AS definition FROM information_schema.views WHERE table_schema {user}")
+    routines = load(f"SELECT routine_schema AS schema, routine_name AS name, routine_type AS type, routine_definition AS definition, external_language AS language FROM information_schema.routines WHERE routine_schema {user}")
+    return tables, keys, views, routines

@@ -132,6 +132,11 @@ def test_catalog(spark):
     keys = spark.createDataFrame([("fk", "public", "orders", "public", "users")], "constraint string, schema string, `table` string, foreign_schema string, foreign_table string")
     nodes, edges = manifests.catalog_graph(tables, keys)
     assert [(r.source, r.target) for r in edges.collect()] == [("public_orders", "public_users")] and nodes.count() == 2
+    views = spark.createDataFrame([("public", "v", "SELECT * FROM orders o JOIN \"public\".\"users\" u ON true -- from nothing"), ("app", "w", "SELECT 1 FROM v, x"), ("app", "hidden", None)], "schema string, name string, definition string")
+    routines = spark.createDataFrame([("app", "f", "FUNCTION", "BEGIN SELECT 'from users' FROM app.w; END", "plpgsql"), ("app", "t", "TRIGGER", "x", None)], "schema string, name string, type string, definition string, language string")
+    nodes, edges = manifests.catalog_graph(tables, keys, views, routines)
+    assert {(r.id, r.kind) for r in nodes.collect()} == {("public_users", "base table"), ("public_orders", "base table"), ("public_v", "view"), ("app_w", "view"), ("app_hidden", "view"), ("app_f", "function")}
+    assert {(r.source, r.target) for r in edges.where("relation = 'reads_from'").collect()} == {("public_v", "public_orders"), ("public_v", "public_users"), ("app_w", "public_v"), ("app_f", "app_w")}
 
 
 def test_extractors(spark):
