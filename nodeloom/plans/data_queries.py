@@ -153,6 +153,11 @@ def _(s, d):
     return files.pack_chunks(_src(s, d).select("path", tx.file_tokens(F.coalesce("n_chars", F.lit(0))).alias("tokens")), 20_000)
 
 
+@query("s41_expanded_units")
+def _(s, d):
+    return files.expand_oversized(_src(s, d), 20_000)
+
+
 @query("s45_file_tokens", "SELECT path, ((least(coalesce(n_chars, 0), 20000) + 160) // 4)::BIGINT AS tokens FROM source_files")
 def _(s, d):
     return _src(s, d).select("path", tx.file_tokens(F.coalesce("n_chars", F.lit(0))).alias("tokens"))
@@ -607,3 +612,10 @@ def _cut(text: str, start: str, most: int = 2000) -> str:
 SQL["s42_slices"] = f"""WITH RECURSIVE p(path, text, a, z, k) AS (SELECT path, text, 0::BIGINT, ({_cut('text', '0')})::BIGINT, 0 FROM source_files WHERE text IS NOT NULL
 UNION ALL SELECT path, text, z, ({_cut('text', 'z')})::BIGINT, k + 1 FROM p WHERE z < length(text))
 SELECT path, a AS start_pos, z AS end_pos, k::INT AS slice_no, (count(*) OVER (PARTITION BY path))::INT AS slice_total FROM p"""
+SQL["s41_expanded_units"] = f"""WITH RECURSIVE l AS (SELECT path, text, coalesce(length(text) > 20000 AND {_SUF} IN ({_in(files.SPLITTABLE_SUFFIXES)}), false) AS large FROM source_files),
+p(path, text, a, z, k) AS (SELECT path, text, 0::BIGINT, ({_cut('text', '0', 20_000)})::BIGINT, 0 FROM l WHERE large UNION ALL SELECT path, text, z, ({_cut('text', 'z', 20_000)})::BIGINT, k + 1 FROM p WHERE z < length(text))
+SELECT path, a AS start_pos, z AS end_pos, k::INT AS slice_no, (count(*) OVER (PARTITION BY path))::INT AS slice_total FROM p UNION ALL SELECT path, NULL, NULL, NULL, NULL FROM l WHERE NOT large"""
+SQL["s44_packed_chunks"] = f"""WITH RECURSIVE t AS (SELECT path, ((least(coalesce(n_chars, 0), 20000) + 160) // 4)::BIGINT AS tokens, ({_SUF} IN ({_in(IMAGE_SUFFIXES)}))::INT AS image FROM source_files WHERE path IS NOT NULL),
+o AS (SELECT *, row_number() OVER (ORDER BY regexp_extract(path, '^(.*)/[^/]*$', 1), path) - 1 AS n FROM t),
+p(n, path, chunk, used, seen) AS (SELECT n, path, 0::BIGINT, tokens, image FROM o WHERE n = 0 UNION ALL SELECT o.n, o.path, CASE WHEN used + tokens > 20000 OR (image = 1 AND seen >= 20) THEN chunk + 1 ELSE chunk END, CASE WHEN used + tokens > 20000 OR (image = 1 AND seen >= 20) THEN tokens ELSE used + tokens END, CASE WHEN used + tokens > 20000 OR (image = 1 AND seen >= 20) THEN image ELSE seen + image END FROM p JOIN o ON o.n = p.n + 1)
+SELECT path, chunk FROM p"""

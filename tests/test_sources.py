@@ -86,6 +86,19 @@ def test_slices_cover_the_text(spark):
     assert files.bisect("ab\ncd", 0, 5) == [(0, 3), (3, 5)] and files.bisect("a", 0, 1) == []
 
 
+def test_units_and_chunks(spark):
+    text = "# a\n" + "x\n" * 40
+    units = files.expand_oversized(frame(spark, {"a.md": text, "b.py": text, "c.txt": "x", "d.rst": None, "e": text}), 50).collect()
+    assert {r.path: r.slice_total for r in units} == {"a.md": 2, "b.py": None, "c.txt": None, "d.rst": None, "e": None} and len(units) == 6
+    sizes = {"a/x": 6, "a/y": 3, "b/x": 2, "b/y": 12, "b/z": 1, "c/1.png": 1, "c/2.png": 1, "c/3.png": 1, "c/z": None}
+    rows = spark.createDataFrame(list(sizes.items()), "path string, tokens long")
+    got = {r.path: r.chunk for r in files.pack_chunks(rows, 10, images=2).collect()}
+    assert got == {"a/x": 0, "a/y": 0, "b/x": 1, "b/y": 2, "b/z": 3, "c/1.png": 3, "c/2.png": 3, "c/3.png": 4, "c/z": 4}
+    blocks = {r.path: r.chunk for r in files.pack_chunks(rows, 100, images=9, per_block=4).collect()}
+    assert [blocks[p] for p in sorted(sizes)] == [0, 0, 0, 0, 4, 4, 4, 4, 8]
+    assert files.pack_chunks(rows.limit(0), 10).collect() == []
+
+
 def test_front_matter_round_trip(spark):
     text = sinks.memory_document('what "is" it?\\', "answer", "useful", ["f()", 'g"h'])
     r = files.front_matter(spark.createDataFrame([(1, text), (2, "no"), (3, None), (4, "---- x")], "doc_id long, text string")).collect()
