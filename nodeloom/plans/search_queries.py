@@ -78,13 +78,25 @@ def _(s, d):
     return index.groupBy("gram").agg(F.count("*").alias("df"))
 
 
-@query("q06_trigram_candidates", sql(_GRAMS + " SELECT id FROM gr WHERE gram IN ('reg', 'egi', 'gis', 'ist', 'str', 'try') GROUP BY id HAVING count(*) = 6 UNION SELECT id FROM gr WHERE gram IN ('gla', 'lac') GROUP BY id HAVING count(*) = 2", "n"))
+_NEEDLES = {"registry": ["reg", "egi", "gis", "ist", "str", "try"], "glac": ["gla", "lac"]}
+_RAREST = " UNION ALL ".join(f"SELECT min(k) AS k FROM (SELECT count(*) AS k FROM gr WHERE gram IN ({', '.join(repr(g) for g in gs)}) GROUP BY gram)" for gs in _NEEDLES.values())
+_HITS = " UNION ".join(f"SELECT id FROM gr WHERE gram IN ({', '.join(repr(g) for g in gs)}) GROUP BY id HAVING count(*) = {len(gs)}" for gs in _NEEDLES.values())
+
+
+@query("q06_trigram_candidates", sql(f"{_GRAMS}, often AS (SELECT coalesce(bool_or(k > floor((SELECT count(*) FROM n) * 0.1)), false) AS x FROM ({_RAREST})), hit AS ({_HITS}) SELECT id FROM hit, often WHERE NOT x UNION ALL SELECT id FROM n, often WHERE x", "n"))
 def _(s, d):
     n = _nodes(s, d)
-    got = search.gram_candidates(search.gram_index(n), n.count(), ["registry", "glac"], guard=1.0)
+    got = search.gram_candidates(search.gram_index(n), n.count(), list(_NEEDLES))
     return got if got is not None else n.select("id")
 
 
+@query("q06_common_needle", sql("SELECT id FROM n", "n"))
+def _(s, d):
+    """A needle whose rarest trigram is in too many nodes: the index is passed over."""
+    n = _nodes(s, d)
+    got = search.gram_candidates(search.gram_index(n), n.count(), [".py"])
+    return got if got is not None else n.select("id")
+
 
 @query("q07_scores", sql(_SCORE + " SELECT id, score, label_length FROM sc WHERE score > 0", "n"))
 def _(s, d):

@@ -7,6 +7,7 @@ the list of hot buckets, at most ``BUCKETS`` rows whatever the input.
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
@@ -89,6 +90,13 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let go of the shuffle files of stages whose results are stored: Spark removes them once the
+    driver has collected the garbage that refers to them, which may otherwise be never."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def version(spark: SparkSession, paths: list[str]) -> tuple:
     """(file, size, time of change) of all files under the paths: another version of an input has
     another value."""
@@ -108,6 +116,7 @@ def stored(spark: SparkSession, name: str, paths: list[str], make):
     key = (spark.sparkContext.applicationId, name, version(spark, paths))
     if key not in _kept:
         _kept[key] = make()
+        forget(spark)
     return _kept[key]
 
 
