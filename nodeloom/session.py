@@ -1,7 +1,7 @@
 """Session-level helpers shared by every operator.
 
-Nothing here collects data whose size grows with the input: the only driver-side value is
-the list of hot buckets, at most ``BUCKETS`` rows whatever the input.
+Nothing here collects rows of the input: what reaches the driver is the list of hot buckets, at
+most ``BUCKETS`` rows, a row per task (:func:`numbered`) and the names of input files.
 """
 
 from __future__ import annotations
