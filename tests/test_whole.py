@@ -9,6 +9,7 @@ from nodeloom.operators import build, centrality, dedup
 from nodeloom.plans import analyze_queries, build_queries, catalog, data_queries
 from nodeloom.plans.view import simple
 from nodeloom.schema import Graph
+from nodeloom.session import written
 from tests.test_graph import EDGE, NODE, adjacency, brandes, graph, random_pairs
 
 
@@ -115,3 +116,24 @@ def test_real_paths_are_classified(spark, sf, monkeypatch):
     assert got == {paths[0]: False, paths[1]: True, paths[2]: True, paths[3]: False}
     got = {r.path: r.hit for r in catalog.QUERIES["s06_keyword_hit_files"](spark, sf).collect()}
     assert got == {paths[0]: False, paths[1]: False, paths[2]: True, paths[3]: False}
+
+
+def test_registered_node_betweenness_is_exact_above_a_thousand_nodes(spark, sf, monkeypatch):
+    # a path of 1,202 nodes: node i is between i * (n - 1 - i) pairs
+    n = 1202
+    g = build.simple(graph(spark, [(f"{i:04}", f"{i + 1:04}") for i in range(n - 1)]))
+    monkeypatch.setattr(analyze_queries, "simple", lambda s, d: g)
+    got = {r.id: r.betweenness for r in catalog.QUERIES["g12_betweenness"](spark, sf).collect()}
+    assert got == {f"{i:04}": pytest.approx(2 * i * (n - 1 - i) / ((n - 1) * (n - 2))) for i in range(n)}
+
+
+def test_betweenness_joined_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(centrality, "HELD", 0)
+    monkeypatch.setattr(centrality, "ROWS", 40)  # four pivots at a time
+    pairs = [p for p in random_pairs(5, 10, 14) if p[0] != p[1]]
+    nodes, edges = brandes(adjacency(pairs), sorted(adjacency(pairs)))
+    mark = written()
+    a, b = centrality.betweenness(build.simple(graph(spark, pairs)))
+    assert written() - mark <= 6  # the tables of the batches are gone
+    assert {r.id: pytest.approx(r.betweenness) for r in a.collect()} == nodes
+    assert {(r.u, r.v): pytest.approx(r.betweenness) for r in b.collect()} == edges
