@@ -137,3 +137,16 @@ def test_betweenness_joined_in_batches(spark, monkeypatch):
     assert written() - mark <= 6  # the tables of the batches are gone
     assert {r.id: pytest.approx(r.betweenness) for r in a.collect()} == nodes
     assert {(r.u, r.v): pytest.approx(r.betweenness) for r in b.collect()} == edges
+
+
+def test_registered_edge_betweenness_is_exact_above_five_thousand_nodes(spark, sf, monkeypatch):
+    # stars of 1,300 leaves in a row of four hubs: a leaf's link is on all paths of its leaf
+    hubs, leaves = 4, 1300
+    n = hubs * (leaves + 1)
+    pairs = [(f"h{h}", f"l{h}{i:04}") for h in range(hubs) for i in range(leaves)] + [(f"h{h}", f"h{h + 1}") for h in range(hubs - 1)]
+    g = build.simple(graph(spark, pairs))
+    monkeypatch.setattr(analyze_queries, "simple", lambda s, d: g)
+    got = {(r.u, r.v): r.betweenness * n * (n - 1) / 2 for r in catalog.QUERIES["g13_edge_betweenness"](spark, sf).collect()}
+    side = leaves + 1
+    want = {(u, v): (int(v[1]) * side * (n - int(v[1]) * side) if v[0] == "h" else n - 1) for u, v in pairs}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
