@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -137,13 +138,18 @@ def surprising(graph: Graph, n: int = 5) -> DataFrame:
     return graph.edges.join(F.broadcast(rows), "seq").select("source", "target", "relation", "confidence")  # n rows
 
 
-def suggested_questions(graph: Graph, bridges: DataFrame | None = None, n: int = 7) -> DataFrame:
+def suggested_questions(graph: Graph, bridges: DataFrame | Callable[[], DataFrame] | None = None, n: int = 7) -> DataFrame:
     """(kind, subject, detail): what the graph could be asked, by family in order, at most ``n``.
 
-    ``bridges`` (id, betweenness) as of :func:`nodeloom.operators.centrality.betweenness`. Without
-    any signal one row of kind no_signal."""
+    ``bridges`` (id, betweenness) as of :func:`nodeloom.operators.centrality.betweenness`, or what
+    gives it: only called if the family before leaves a row, as its rows come after. Without any
+    signal one row of kind no_signal."""
     nodes = described(graph)
     parts = [graph.edges.where("confidence = 'AMBIGUOUS'").orderBy("seq").limit(n).select(F.lit(1).alias("f"), "seq", F.lit("ambiguous_edge").alias("kind"), F.concat_ws(" -- ", "source", "target").alias("subject"), F.col("relation").alias("detail"))]
+    if parts[0].count() == n:  # the families come in order: no other has a row among the first n
+        return parts[0].orderBy("seq").select("kind", "subject", "detail")
+    if callable(bridges):
+        bridges = bridges()
     if bridges is not None:
         real = bridges.where("betweenness > 0").join(nodes.where("NOT file_node AND NOT concept_node"), "id").orderBy(F.desc("betweenness"), "seq").limit(3)
         other = node_reach(graph).where("reach > 0")

@@ -96,11 +96,7 @@ def _(s, d):
 @query("g11_questions")
 def _(s, d):
     g = simple(s, d)
-    return analyze.suggested_questions(g, _betweenness(g, 1000)[0])
-
-
-def _betweenness(g, exact: int):
-    return centrality.betweenness(g, centrality.pivots_for(g.nodes.count(), exact))
+    return analyze.suggested_questions(g, lambda: centrality.betweenness(g)[0])
 
 
 @query("g12_betweenness")

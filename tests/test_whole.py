@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from nodeloom.functions.similarity import jaro_py, jaro_winkler_py, minhash_py
 from nodeloom.operators import build, centrality, dedup
@@ -150,3 +151,17 @@ def test_registered_edge_betweenness_is_exact_above_five_thousand_nodes(spark, s
     side = leaves + 1
     want = {(u, v): (int(v[1]) * side * (n - int(v[1]) * side) if v[0] == "h" else n - 1) for u, v in pairs}
     assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_registered_questions_skip_bridges_only_if_they_have_no_row(spark, sf, monkeypatch):
+    n = 1202
+    pairs = [(f"{i:04}", f"{i + 1:04}") for i in range(n - 1)]
+    g = build.simple(graph(spark, pairs, communities={f"{i:04}": i % 2 for i in range(n)}))
+    monkeypatch.setattr(analyze_queries, "simple", lambda s, d: g)
+    got = {r.subject: r.detail for r in catalog.QUERIES["g11_questions"](spark, sf).collect() if r.kind == "bridge_node"}
+    assert len(got) == 3 and {"0600", "0601"} < set(got) and got["0600"] == got["0601"] == "0.500"
+    doubt = g.with_(edges=g.edges.withColumn("confidence", F.when(F.col("seq") >= 20, "AMBIGUOUS").otherwise(F.col("confidence"))))
+    monkeypatch.setattr(analyze_queries, "simple", lambda s, d: doubt)
+    monkeypatch.setattr(centrality, "betweenness", None)
+    got = [tuple(r) for r in catalog.QUERIES["g11_questions"](spark, sf).collect()]
+    assert got == [("ambiguous_edge", f"{a} -- {b}", "calls") for a, b in pairs[20:27]]
