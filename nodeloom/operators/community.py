@@ -6,8 +6,8 @@ hash parity to their best one, so two neighbours rarely swap places. Two rounds
 turn; they are repeated until that raises the modularity by less than ``LEAST_GAIN``, then
 communities become nodes and the next level starts. Totals per community and the assignment are
 written between rounds. As soon as the links of a level fit, one task takes the level and those
-above it to the end, node by node. Both go on until no level gains ``LEAST_GAIN``; results are
-deterministic.
+above it to the end, as arrays, a part of the nodes at a time. Both go on until no level gains
+``LEAST_GAIN``; results are deterministic.
 """
 
 from __future__ import annotations
@@ -31,48 +31,100 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(ends.alias("x"), "w").groupBy("x.a", "x.b").agg(F.sum("w").alias("w"))
 
 
-#: Rise of modularity from which another pass or level is made; links that one task may hold.
-LEAST_GAIN, HELD = 1e-4, 3_000_000
+#: Rise of modularity from which another pass or level is made; links that one task may hold; parts
+#: of the nodes of such a level that move one after the other.
+LEAST_GAIN, HELD, PARTS = 1e-4, 8_000_000, 64
 
 
-def local_moves(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: float = 1.0, least: float = LEAST_GAIN) -> np.ndarray:
+def _merged(key: np.ndarray, w: np.ndarray | None, sums: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sorted keys with their weights (None: all 1); with ``sums`` each key once, weights added."""
+    if w is None:
+        key.sort()
+    else:
+        order = np.argsort(key, kind="stable")
+        key, w = key[order], w[order]
+    if not sums:
+        return key, w
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    added = np.diff(first, append=len(key)).astype(float) if w is None else np.add.reduceat(w, first) if len(first) else np.zeros(0)
+    return key[first], added
+
+
+def local_moves(a: np.ndarray, b: np.ndarray, w: np.ndarray | None, n: int, resolution: float = 1.0, least: float = LEAST_GAIN) -> np.ndarray:
     """Community of each node 0 to n - 1 of the links (a, b, w), both directions, a loop once with
-    twice its weight: nodes move one by one, in order, to the neighbouring community of the
-    highest gain; communities become nodes; until no level raises the modularity by ``least``."""
-    whole, m2 = np.arange(n), float(w.sum()) or 1.0
+    twice its weight; w None: all 1. Nodes, in an order by hash, move to the neighbouring community
+    of the highest gain, one in ``PARTS`` of them at a time; after the first pass those with a
+    neighbour that left, and all again when these gain less than ``least``; communities become
+    nodes; until no pass over all and no level raises the modularity by ``least``."""
+    whole, m2 = np.arange(n), float(len(a) if w is None else w.sum()) or 1.0
     while True:
-        order = np.argsort(a, kind="stable")
-        a, b, w = a[order], b[order], w[order]
-        starts, near, weight = np.searchsorted(a, np.arange(n + 1)).tolist(), b.tolist(), w.tolist()
-        strength = np.bincount(a, w, n).tolist()
-        of, total, rise = list(range(n)), list(strength), 0.0
+        place = np.argsort(np.random.default_rng(n).random(n), kind="stable").argsort().astype(np.int32)
+        pair, w = _merged(np.multiply(place[a], n, dtype=np.int64) + place[b], w, False)
+        a, b = (pair // n).astype(np.int32), (pair % n).astype(np.int32)
+        del pair
+        starts, strength = np.searchsorted(a, np.arange(n + 1, dtype=a.dtype)), np.bincount(a, w, n).astype(float)
+        degree = np.diff(starts)
+        of, total, marked = np.arange(n, dtype=np.int32), strength.copy(), np.ones(n, bool)
+
+        def score() -> float:
+            same = of[a] == of[b]
+            inside = np.count_nonzero(same) if w is None else w[same].sum()
+            return float(inside / m2 - resolution * (total**2).sum() / m2**2)
+
+        def links(rows: np.ndarray) -> np.ndarray:
+            d = degree[rows]
+            return np.arange(d.sum()) + np.repeat(starts[rows] - np.cumsum(d) + d, d)
+
+        def move(rows: np.ndarray) -> None:
+            at = links(rows)
+            at = at[a[at] != b[at]]
+            key = np.multiply(a[at], n, dtype=np.int64) + of[b[at]]
+            key, kin = _merged(key, None if w is None else w[at])
+            node, c = np.divmod(key, n)
+            if not len(node):
+                return
+            k, own = strength[node], of[node] == c
+            gain = kin - resolution * k * (total[c] - np.where(own, k, 0.0)) / m2
+            each = np.flatnonzero(np.diff(node, prepend=-1))
+            top = np.maximum.reduceat(gain, each)
+            groups = np.repeat(np.arange(len(each)), np.diff(each, append=len(node)))
+            mover = node[each]
+            here = -resolution * strength[mover] * (total[of[mover]] - strength[mover]) / m2
+            here[groups[own]] = gain[own]
+            best = np.flatnonzero(gain == top[groups])
+            best = c[best[np.flatnonzero(np.diff(groups[best], prepend=-1))]]  # of equals the first
+            go = top > here + 1e-12
+            mover, best = mover[go], best[go]
+            np.subtract.at(total, of[mover], strength[mover])
+            np.add.at(total, best, strength[mover])
+            of[mover] = best
+            near = links(mover)
+            marked[b[near][of[b[near]] != of[a[near]]]] = True
+
+        size = max(1, -(-n // PARTS))
+        start = now = score()
         while True:
-            gained = 0.0
-            for i in range(n):
-                k, own, kin = strength[i], of[i], {}
-                for j in range(starts[i], starts[i + 1]):
-                    if near[j] != i:
-                        c = of[near[j]]
-                        kin[c] = kin.get(c, 0.0) + weight[j]
-                total[own] -= k
-                here = kin.get(own, 0.0) - resolution * k * total[own] / m2
-                best, top = own, here + 1e-12
-                for c in sorted(kin):
-                    gain = kin[c] - resolution * k * total[c] / m2
-                    if gain > top:
-                        best, top = c, gain
-                total[best] += k
-                of[i] = best
-                gained += 2 * (top - here) / m2 if best != own else 0.0
-            rise += gained
+            full, before = bool(marked.all()), of.copy()
+            for lo in range(0, n, size):
+                rows = lo + np.flatnonzero(marked[lo : lo + size])
+                marked[rows] = False
+                move(rows)
+            gained = score() - now
+            now += gained
+            if gained < 0:  # moves of one part may spoil each other
+                of, now = before, now - gained
+                total = np.bincount(of, strength, n)
             if gained < least:
-                break
+                if full:
+                    break
+                marked[:] = True
         names, of = np.unique(of, return_inverse=True)
-        whole = of[whole]
-        if rise < least or len(names) == n:
+        whole = of[place[whole]]
+        if now - start < least or len(names) == n:
             return whole
-        pair, at = np.unique(of[a].astype(np.int64) * len(names) + of[b], return_inverse=True)
-        a, b, w, n = pair // len(names), pair % len(names), np.bincount(at, w), len(names)
+        n = len(names)
+        pair, w = _merged(np.multiply(of[a], n, dtype=np.int64) + of[b], w)
+        a, b = (pair // n).astype(np.int32), (pair % n).astype(np.int32)
 
 
 def _in_one_task(links: DataFrame, resolution: float) -> DataFrame:
@@ -85,10 +137,9 @@ def _in_one_task(links: DataFrame, resolution: float) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, y, w = (np.concatenate(c) for c in zip(*[[p[k].to_numpy() for k in "xyw"] for p in parts] or [[np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)]]))
         if len(x):
-            order = np.lexsort((y, x))
-            x, y, w = x[order], y[order], w[order]
             other, n = x != y, int(max(x.max(), y.max())) + 1
-            of = local_moves(np.concatenate([x, y[other]]), np.concatenate([y, x[other]]), np.concatenate([w, w[other]]), n, resolution)
+            weights = None if (w == 1).all() else np.concatenate([w, w[other]])
+            of = local_moves(np.concatenate([x, y[other]]), np.concatenate([y, x[other]]), weights, n, resolution)
             first = np.full(of.max() + 1, n)
             np.minimum.at(first, of, np.arange(n))
             yield pd.DataFrame({"i": np.arange(n), "k": first[of]})

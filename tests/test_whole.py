@@ -1,12 +1,14 @@
 """Jobs that must not be cut short: each result against brute force on a fixture."""
 
+import time
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nodeloom.functions.similarity import jaro_py, jaro_winkler_py, minhash_py
-from nodeloom.operators import build, centrality, dedup
+from nodeloom.operators import build, centrality, community, dedup
 from nodeloom.plans import analyze_queries, build_queries, catalog, data_queries
 from nodeloom.plans.view import simple
 from nodeloom.schema import Graph
@@ -165,3 +167,20 @@ def test_registered_questions_skip_bridges_only_if_they_have_no_row(spark, sf, m
     monkeypatch.setattr(centrality, "betweenness", None)
     got = [tuple(r) for r in catalog.QUERIES["g11_questions"](spark, sf).collect()]
     assert got == [("ambiguous_edge", f"{a} -- {b}", "calls") for a, b in pairs[20:27]]
+
+
+def test_clustering_of_a_level_ends_in_time():
+    # a hub and loose communities: moved one by one in Python this took many passes of seconds each
+    n, m = 40_000, 160_000
+    rng = np.random.default_rng(7)
+    x, y, kind = rng.integers(0, n, m), rng.integers(0, n, m), rng.random(m)
+    y = np.where(kind < 0.1, 0, np.where(kind < 0.4, x // 400 * 400 + rng.integers(0, 400, m), y))
+    x, y = np.unique(np.sort(np.stack([x, y])[:, x != y], axis=0), axis=1).astype(np.int32)
+    began = time.process_time()
+    of = community.local_moves(np.concatenate([x, y]), np.concatenate([y, x]), np.ones(2 * len(x)), n)
+    assert time.process_time() - began < 6
+    total = np.bincount(of, np.bincount(np.concatenate([x, y]), minlength=n))
+    q = (of[x] == of[y]).mean() - (total**2).sum() / (2 * len(x)) ** 2
+    assert q > 0.3
+    again = community.local_moves(np.concatenate([x, y]), np.concatenate([y, x]), None, n)
+    assert (again == of).all()
