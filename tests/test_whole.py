@@ -1,5 +1,7 @@
 """Jobs that must not be cut short: each result against brute force on a fixture."""
 
+import re
+import shutil
 import time
 from itertools import combinations
 
@@ -7,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nodeloom import session
 from nodeloom.functions.similarity import jaro_py, jaro_winkler_py, minhash_py
 from nodeloom.operators import build, centrality, community, dedup
 from nodeloom.plans import analyze_queries, build_queries, catalog, data_queries
@@ -184,3 +187,16 @@ def test_clustering_of_a_level_ends_in_time():
     assert q > 0.3
     again = community.local_moves(np.concatenate([x, y]), np.concatenate([y, x]), None, n)
     assert (again == of).all()
+
+
+def test_registered_betweenness_stores_no_more_than_links(spark, sf, tmp_path):
+    for name in ("graph_nodes", "graph_edges"):
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path)
+    mark = written()
+    got = catalog.QUERIES["g12_betweenness"](spark, str(tmp_path)).count()
+    tables = {re.search(r"nodeloom-(\w+)-", path)[1] for path in session._written[mark:]}
+    assert "links" in tables and not {"edges", "simple", "adjacency"} & tables
+    g = simple(spark, str(tmp_path))
+    assert got == g.nodes.count()
+    links = {(r.u, r.v) for r in g.links().collect()}
+    assert links == {(r.u, r.v) for r in g.edges.collect()} == {(r.u, r.v) for r in g.links().collect()}
