@@ -3,6 +3,7 @@
 import re
 import shutil
 import time
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -200,3 +201,29 @@ def test_registered_betweenness_stores_no_more_than_links(spark, sf, tmp_path):
     assert got == g.nodes.count()
     links = {(r.u, r.v) for r in g.links().collect()}
     assert links == {(r.u, r.v) for r in g.edges.collect()} == {(r.u, r.v) for r in g.links().collect()}
+
+
+def test_betweenness_tasks_hold_a_graph_in_few_copies():
+    # bytes by the link: 33 at most, 48 when keys were made from copies of both directions
+    n, m = 50_000, 1_000_000
+    ends = np.unique(np.sort(np.random.default_rng(3).integers(0, n, (m, 2), np.int32), axis=1), axis=0)
+    tracemalloc.start()
+    held = centrality.Held(n, ends)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 * len(ends)
+    low, high = held.once()
+    assert (np.stack([low, high], axis=1) == ends[ends[:, 0] < ends[:, 1]]).all()
+
+
+def test_betweenness_tasks_sum_a_link_once():
+    # in both directions, whatever the pivots that go together
+    pairs = [p for p in random_pairs(9, 40, 70) if p[0] != p[1]]
+    ids = sorted(adjacency(pairs))
+    place = {x: i for i, x in enumerate(ids)}
+    nodes, edges = brandes(adjacency(pairs), ids)
+    ends = np.array(sorted({tuple(sorted((place[a], place[b]))) for a, b in pairs}), np.int32)
+    got, links = centrality.accumulate(centrality.Held(len(ids), ends), np.arange(len(ids)))
+    n = len(ids)
+    assert got / ((n - 1) * (n - 2)) == pytest.approx([nodes[x] for x in ids])
+    assert len(links) == len(ends) and links / (n * (n - 1)) == pytest.approx([edges[ids[a], ids[b]] for a, b in ends])
